@@ -1,0 +1,6 @@
+"""Named queries of the engine and their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
