@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from corpusforge.llm import line_dedup
+from corpusforge.llm.line_dedup import op10_line_dedup
 from corpusforge.llm.mixing import op7_mixing
 from corpusforge.llm.quality_rules import op5_quality_rules
+from corpusforge.llm.secret_scan import op3_secret_scan
+from corpusforge.llm.simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op5_quality_rules, op7_mixing, op9_simhash, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
