@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusforge.llm import line_dedup
 from corpusforge.llm.compress_quality import op8_quality_classifier
 from corpusforge.llm.decontaminate import op4_decontaminate
+from corpusforge.llm.license_scan import op6_license_scan
 from corpusforge.llm.line_dedup import op10_line_dedup
 from corpusforge.llm.lm_score import op2_lm_score
 from corpusforge.llm.mixing import op7_mixing
@@ -21,6 +22,7 @@ QUERIES = {
         op3_secret_scan,
         op4_decontaminate,
         op5_quality_rules,
+        op6_license_scan,
         op7_mixing,
         op8_quality_classifier,
         op9_simhash,
