@@ -136,9 +136,12 @@ def near_dedup(df: DataFrame, text: str = "text", ord_: str = "ord", threshold:
     firsts = materialize(firsts, "firsts")
     edges = materialize(near_pairs(firsts, threshold, "ord", num_perm, bands), "pairs")
     state = first_wins(firsts, edges)
-    match = edges.join(state.filter("kept").select(F.col("ord").alias("src")), "src").groupBy(F.col("dst").alias("f")).agg(F.max(F.struct("sim", (-F.col("src")).alias("m"))).alias("best"))
-    of = firsts.select("signature", F.col("ord").alias("f")).join(state.select(F.col("ord").alias("f"), "kept"), "f").join(match, "f", "left")
-    x = signed.join(of, "signature")
+    of = firsts.select("signature", F.col("ord").alias("f")).join(state.select(F.col("ord").alias("f"), "kept"), "f")
+    x = signed.join(of, "signature").select("ord", "f", "kept")
+    near = edges.select(F.col("src").alias("nb"), F.col("dst").alias("f"), "sim").unionByName(edges.select(F.col("dst").alias("nb"), F.col("src").alias("f"), "sim"))
+    near = near.join(state.filter("kept").select(F.col("ord").alias("nb")), "nb")
+    best = x.filter(~F.col("kept")).join(near, "f").filter("nb < ord").groupBy("ord").agg(F.max(F.struct("sim", (-F.col("nb")).alias("m"))).alias("best"))
+    x = x.join(best, "ord", "left")
     first = F.col("ord") == F.col("f")
     matched = F.when(F.col("kept"), F.when(~first, F.col("f"))).otherwise(-F.col("best.m"))
     sim = F.when(F.col("kept"), F.when(~first, F.lit(1.0))).otherwise(F.col("best.sim"))
