@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.functions.text import WS, casefold
 
@@ -35,7 +36,7 @@ def signatures(c: Column) -> Column:
     return F.struct(*[signature(c, level).alias(level) for level in LEVELS])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b_128(s: pd.Series) -> pd.Series:
     """128-bit blake2b hex, for signatures that must agree with other tools; give it ``comparable``."""
     return s.map(lambda t: hashlib.blake2b(t.encode(), digest_size=16).hexdigest(), na_action="ignore")
