@@ -170,10 +170,10 @@ class ItemIndex:
 
     def _search(self, docs: list[list[bytes]]) -> list[dict]:
         found: list[dict] = [{} for _ in docs]
-        if not self.ids:
+        if not self.ids or not docs:
             return found
         step, get = self.longest, self.vocab.get
-        counts = np.array([len(w) for w in docs])
+        counts = np.array([len(w) for w in docs], np.int64)
         passages = np.maximum(1, -(-counts // step) - 1)
         first = np.concatenate(([0], np.cumsum(passages)))
         ids = np.array([x for w in docs for x in map(get, w, repeat(-1))], np.int64)

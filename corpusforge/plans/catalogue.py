@@ -1,6 +1,575 @@
-"""Named queries of the engine and their SQL counterparts."""
+"""Named queries of the engine over the test tables, and their SQL counterparts.
+
+``documents`` lack bullets, ellipses, odd spaces and other scripts, so most queries
+read ``variants``: every document, changed in a way that depends on its id.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from corpusforge.functions import quality as Q
+from corpusforge.functions import script as S
+from corpusforge.functions import text as X
+from corpusforge.operators import batching, exact, extract, listings, minhash
+from corpusforge.plans import pipeline as P
+from corpusforge.session import materialize, table
+from corpusforge.sources import records, shards
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+# Sources of the queries ---------------------------------------------------------
+
+HAN, NAGARI = "我们测试文本处理。" * 12, "यह एक परीक्षण वाक्य है। " * 20
+_NL = "chr(10)"
+VARIANT_SQL = f"""(SELECT doc_id, lang, source, CASE doc_id % 8
+  WHEN 1 THEN '  “' || text || '”' || chr(9) || ' x' || repeat({_NL}, 4) || '‘end’ '
+  WHEN 2 THEN '- ' || replace(text, {_NL}, {_NL} || '• ')
+  WHEN 3 THEN replace(text, '.', '...')
+  WHEN 4 THEN '{HAN}' || {_NL} || '{HAN}'
+  WHEN 5 THEN replace(text, ' ', chr(8203) || '  ')
+  WHEN 6 THEN '{NAGARI}' || {_NL} || 'privacy policy, Terms of Use, ALL RIGHTS RESERVED'
+  ELSE text END AS text FROM documents)"""
+
+
+def variants(spark, sf_dir) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("__documents")
+    return spark.sql(VARIANT_SQL.strip("()").replace("FROM documents", "FROM __documents").replace("chr(8203)", "'​'"))
+
+
+def normalized(spark, sf_dir) -> DataFrame:
+    return variants(spark, sf_dir).withColumn("text", X.normalize_native(F.col("text")))
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("ord"), "text")
+
+
+def _re(c: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+
+
+_STRIPPED = _re(_re("coalesce(text, '')", X.INVISIBLE, ""), X.CONTROL, "")
+_FOLDED = f"translate({_STRIPPED}, '{X.QUOTES_FROM}', '{X.QUOTES_TO.replace(chr(39), chr(39) * 2)}')"
+_NORMAL = f"trim({_re(_re(_re(_FOLDED, X.H_SPACE, ' '), X.BLANK_LINES, chr(10) * 2), ' *' + chr(10) + ' *', chr(10))}, ' ' || chr(10))"
+NORMAL_SQL = f"(SELECT doc_id, lang, source, {_NORMAL} AS text FROM {VARIANT_SQL})"
+
+# Text ---------------------------------------------------------------------------
+
+
+@query
+def doc_identity(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", X.doc_identity(F.col("url")).alias("doc_id"), X.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+ORACLE_SQL["doc_identity"] = "SELECT page_id, left(sha256(url), 16) AS doc_id, split_part(url, '?', 1) AS canonical_url FROM pages"
+
+
+@query
+def normalize_text(spark, sf_dir):
+    return normalized(spark, sf_dir).select("doc_id", "text")
+
+
+ORACLE_SQL["normalize_text"] = f"SELECT doc_id, text FROM {NORMAL_SQL}"
+
+
+@query
+def normalize_nfkc(spark, sf_dir):
+    return X.normalize_column(variants(spark, sf_dir)).select("doc_id", "text")
+
+
+# Quality ------------------------------------------------------------------------
+
+_W = Q.WORD_RE2.replace("'", "''")
+_T = "list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')"
+_L = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_OCC = lambda s: f"((length(text) - length(replace(text, '{s}', ''))) // {len(s)})"
+_IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_LEN = lambda c: f"coalesce(length(array_to_string({c}, '')), 0)"
+MEASURES_SQL = f"""(SELECT doc_id, text, CAST(len(w) AS BIGINT) AS words, CAST({_LEN('w')} AS BIGINT) AS word_chars,
+  CAST({_OCC('#')} + {_OCC('...')} + {_OCC('…')} AS BIGINT) AS symbols, CAST(len(t) AS BIGINT) AS tokens,
+  CAST(len(list_filter(t, lambda x: regexp_matches(x, '\\p{{L}}'))) AS BIGINT) AS alpha_tokens, CAST(len(l) AS BIGINT) AS lines,
+  CAST(len(list_filter(l, lambda x: x[1] IN ({_IN(Q.BULLETS)}))) AS BIGINT) AS bullets,
+  CAST(len(list_filter(l, lambda x: suffix(x, '...') OR suffix(x, '…'))) AS BIGINT) AS ellipses,
+  CAST(len(list_filter(l, lambda x: right(x, 1) IN ({_IN(Q.TERMINALS)}))) AS BIGINT) AS ended,
+  CAST({_LEN('l')} AS BIGINT) AS line_chars, CAST({_LEN('list_distinct(l)')} AS BIGINT) AS distinct_line_chars,
+  CAST({' + '.join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in Q.MARKERS)} AS BIGINT) AS markers,
+  CAST(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS BIGINT) AS letters
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{_W}') AS w, {_T} AS t, {_L} AS l FROM {NORMAL_SQL}))"""
+
+
+def measures(spark, sf_dir) -> DataFrame:
+    return Q.with_measures(normalized(spark, sf_dir)).select("doc_id", "m.*")
+
+
+def _share(n: str, of: str, empty: float) -> str:
+    return f"CASE WHEN {of} > 0 THEN CAST({n} AS DOUBLE) / {of} ELSE {empty} END"
+
+
+_VALUES = {
+    "word_count": "CAST(words AS DOUBLE)",
+    "mean_word_length": _share("word_chars", "words", 0.0),
+    "symbol_to_word_ratio": _share("symbols", "words", 1.0),
+    "alpha_word_ratio": _share("alpha_tokens", "tokens", 0.0),
+    "bullet_line_ratio": _share("bullets", "lines", 1.0),
+    "ellipsis_line_ratio": _share("ellipses", "lines", 1.0),
+    "terminal_punctuation_ratio": _share("ended", "lines", 0.0),
+    "repetition_ratio": f"CASE WHEN lines < 2 THEN 0.0 ELSE {_share('(line_chars - distinct_line_chars)', 'line_chars', 1.0)} END",
+    "boilerplate_markers": "CAST(markers AS DOUBLE)",
+    "char_count": "CAST(letters AS DOUBLE)",
+    "symbol_to_char_ratio": _share("symbols", "letters", 1.0),
+}
+_RULES = {r.name: r for r in (*Q.DEFAULT_RULES, *Q.NON_SPACE_RULES)}
+
+
+def _rule_query(rule: Q.Rule):
+    def run(spark, sf_dir):
+        m = Q.with_measures(normalized(spark, sf_dir))
+        r = rule.build(F.col("m"))
+        return m.select("doc_id", r["value"].alias("value"), r["passed"].alias("passed"))
+
+    QUERIES[f"rule_{rule.name}"] = run
+    ORACLE_SQL[f"rule_{rule.name}"] = f"SELECT doc_id, value, {_ok(rule)} AS passed FROM (SELECT doc_id, CAST({_VALUES[rule.name]} AS DOUBLE) AS value FROM {MEASURES_SQL})"
+
+
+def _ok(rule: Q.Rule, value: str = "value") -> str:
+    return " AND ".join(f"{value} {op} {x}" for op, x in ((">=", rule.low), ("<=", rule.high)) if x is not None)
+
+
+for _r in _RULES.values():
+    _rule_query(_r)
+
+
+@query
+def word_stats(spark, sf_dir):
+    return measures(spark, sf_dir)
+
+
+ORACLE_SQL["word_stats"] = f"SELECT * EXCLUDE (text) FROM {MEASURES_SQL}"
+
+_N = ", ".join(f"length(regexp_replace(a, '[^{r}]', '', 'g')) AS n_{s}" for s, r in S.SCRIPTS.items())
+_TOP = ", ".join(f"{{'n': n_{s}, 'p': -length(regexp_extract(a, '^([^{r}]*)', 1)), 's': '{s}'}}" for s, r in S.SCRIPTS.items())
+SCRIPT_SQL = f"""(SELECT doc_id, CASE WHEN total = 0 THEN 'unknown' WHEN ja THEN 'japanese' ELSE top.s END AS script,
+  CASE WHEN total = 0 THEN 0.0 WHEN ja THEN (kana + n_han) / CAST(total AS DOUBLE) ELSE top.n / CAST(total AS DOUBLE) END AS script_confidence
+  FROM (SELECT *, list_aggregate([{_TOP}], 'max') AS top, {' + '.join(f'n_{s}' for s in S.SCRIPTS)} AS total, n_hiragana + n_katakana AS kana,
+        kana >= {S.KANA_SHARE} * total AND n_han > 0 AND total > 0 AS ja
+        FROM (SELECT doc_id, a, {_N} FROM (SELECT doc_id, regexp_replace(left(text, {S.SAMPLE}), '[^\\p{{L}}]', '', 'g') AS a FROM {NORMAL_SQL}))))"""
+
+
+@query
+def script_profile(spark, sf_dir):
+    x = S.with_script(normalized(spark, sf_dir))
+    return x.select("doc_id", "script", "script_confidence", "space_delimited")
+
+
+_SPACED = f"script NOT IN ({_IN(S.UNSPACED)}, 'japanese')"
+ORACLE_SQL["script_profile"] = f"SELECT doc_id, script, script_confidence, {_SPACED} AS space_delimited FROM {SCRIPT_SQL}"
+
+
+def _report(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.col("quality.passed").alias("passed"), F.array_join("quality.failures", ",").alias("failures"))
+
+
+def _failures(adaptive: bool) -> str:
+    out = []
+    for name, rule in _RULES.items():
+        when = "TRUE"
+        value = f"({_VALUES[name]})"
+        if adaptive:
+            if name in ("word_count", "symbol_to_word_ratio", "alpha_word_ratio", "mean_word_length"):
+                when = "spaced"
+            elif name in ("char_count", "symbol_to_char_ratio"):
+                when = "NOT spaced"
+            elif name == "terminal_punctuation_ratio":
+                when = f"script NOT IN ({_IN(S.UNPUNCTUATED)})"
+        elif name in ("char_count", "symbol_to_char_ratio"):
+            continue
+        ok = _ok(rule, value)
+        if adaptive and name == "mean_word_length":
+            ok = f"{value} >= CASE WHEN script IN ({_IN(S.DENSE)}) THEN 1.8 ELSE 3.0 END AND {value} <= 10.0"
+        out.append((name, f"CASE WHEN ({when}) AND NOT ({ok}) THEN '{name}' END"))
+    order = [r.name for r in (*Q.DEFAULT_RULES[:4], *Q.NON_SPACE_RULES)]
+    return "concat_ws(',', " + ", ".join(x for _, x in sorted(out, key=lambda x: order.index(x[0]))) + ")"
+
+
+REPORT_SQL = f"(SELECT doc_id, {_failures(True)} AS failures FROM (SELECT *, {_SPACED} AS spaced FROM {MEASURES_SQL} JOIN {SCRIPT_SQL} USING (doc_id)))"
+
+
+@query
+def quality_report(spark, sf_dir):
+    return _report(Q.assess(normalized(spark, sf_dir)))
+
+
+ORACLE_SQL["quality_report"] = f"SELECT doc_id, failures = '' AS passed, failures FROM {REPORT_SQL}"
+
+
+@query
+def quality_non_adaptive(spark, sf_dir):
+    return _report(Q.assess(normalized(spark, sf_dir), adapt_to_script=False))
+
+
+ORACLE_SQL["quality_non_adaptive"] = f"SELECT doc_id, failures = '' AS passed, failures FROM (SELECT doc_id, {_failures(False)} AS failures FROM {MEASURES_SQL})"
+
+
+@query
+def quality_custom_rules(spark, sf_dir):
+    digits = Q.Rule("letters_per_token", lambda m: Q.share(m["letters"], m["tokens"], 0.0), 2.5)
+    return _report(Q.assess(normalized(spark, sf_dir), rules=(Q.WORD_COUNT, digits)))
+
+
+ORACLE_SQL["quality_custom_rules"] = f"""SELECT doc_id, failures = '' AS passed, failures FROM (SELECT doc_id, concat_ws(',',
+  CASE WHEN NOT (words >= 50 AND words <= 100000) THEN 'word_count' END,
+  CASE WHEN NOT ({_share('letters', 'tokens', 0.0)} >= 2.5) THEN 'letters_per_token' END) AS failures FROM {MEASURES_SQL})"""
+
+
+@query
+def quality_failure_histogram(spark, sf_dir):
+    return P.failure_histogram(Q.assess(normalized(spark, sf_dir)))
+
+
+ORACLE_SQL["quality_failure_histogram"] = f"SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(failures, ',')) AS rule FROM {REPORT_SQL} WHERE failures <> '') GROUP BY rule"
+
+
+@query
+def assess_summary(spark, sf_dir):
+    q = Q.assess(normalized(spark, sf_dir))
+    return q.agg(F.count(F.lit(1)).alias("documents"), F.count_if("quality.passed").alias("would_pass"))
+
+
+ORACLE_SQL["assess_summary"] = f"SELECT count(*) AS documents, count(*) FILTER (WHERE failures = '') AS would_pass FROM {REPORT_SQL}"
+
+# Exact dedup --------------------------------------------------------------------
+
+
+def _comparable_sql(level: str) -> str:
+    if level == "raw":
+        return "text"
+    c = _re("translate(replace(lower(text), 'ß', 'ss'), 'ς', 'σ')", exact._PUNCTUATION, " ")
+    if level == "structural":
+        c = _re(c, r"\p{Nd}+", "0")
+    return f"trim({_re(c, f'[{X.WS}]+', ' ')})"
+
+
+def _exact_query(level: str):
+    def run(spark, sf_dir):
+        d = documents(spark, sf_dir).withColumn("text", X.normalize_native(F.col("text")))
+        return exact.mark_exact(d, level=level).select(F.col("ord").alias("doc_id"), "signature", "is_duplicate", F.col("first_ord").alias("first_id"))
+
+    QUERIES[f"exact_dedup_{level}"] = run
+    plain = f"(SELECT doc_id, {_NORMAL} AS text FROM documents)"
+    ORACLE_SQL[f"exact_dedup_{level}"] = f"""SELECT doc_id, signature, doc_id <> first_id AS is_duplicate, first_id FROM
+      (SELECT doc_id, signature, min(doc_id) OVER (PARTITION BY signature) AS first_id FROM (SELECT doc_id, md5({_comparable_sql(level)}) AS signature FROM {plain}))"""
+
+
+for _level in exact.LEVELS:
+    _exact_query(_level)
+
+
+@query
+def exact_signatures(spark, sf_dir):
+    return normalized(spark, sf_dir).select("doc_id", exact.signatures(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+ORACLE_SQL["exact_signatures"] = f"SELECT doc_id, {', '.join(f'md5({_comparable_sql(k)}) AS {k}' for k in exact.LEVELS)} FROM {NORMAL_SQL}"
+
+
+@query
+def exact_dup_classes(spark, sf_dir):
+    return exact.duplicate_classes(documents(spark, sf_dir)).filter("copies > 1")
+
+
+ORACLE_SQL["exact_dup_classes"] = f"SELECT md5({_comparable_sql('normalized')}) AS signature, min(doc_id) AS first_ord, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1"
+
+# Near dedup ---------------------------------------------------------------------
+
+_COEF = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.coefficients()))
+SHINGLES_SQL = f"""(SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {minhash.NGRAM} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {minhash.NGRAM - 2}), lambda i: array_to_string(w[i:i + {minhash.NGRAM - 1}], ' '))) END) AS s
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{minhash.TOKEN}') AS w FROM documents))"""
+MINIMA_SQL = f"""(SELECT doc_id, i, min((a * h + b) % {minhash.PRIME}) AS v FROM
+  (SELECT DISTINCT doc_id, (('0x' || left(md5(s), 8))::BIGINT & {minhash.PRIME}) AS h FROM {SHINGLES_SQL}), (VALUES {_COEF}) p(i, a, b) GROUP BY doc_id, i)"""
+
+
+@query
+def shingle_counts(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select(F.col("ord").alias("doc_id"), F.size(minhash.shingles(F.col("text"))).cast("long").alias("n"))
+
+
+ORACLE_SQL["shingle_counts"] = f"SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN {SHINGLES_SQL} s USING (doc_id) GROUP BY d.doc_id"
+
+
+@query
+def minhash_signatures(spark, sf_dir):
+    s = minhash.with_signatures(documents(spark, sf_dir))
+    return s.select(F.col("ord").alias("doc_id"), F.md5(F.array_join("signature", ",").cast("binary")).alias("signature"))
+
+
+ORACLE_SQL["minhash_signatures"] = f"""SELECT d.doc_id, md5(coalesce(string_agg(v::VARCHAR, ',' ORDER BY i), '{",".join([str(minhash.EMPTY)] * minhash.NUM_PERM)}')) AS signature
+  FROM documents d LEFT JOIN {MINIMA_SQL} m USING (doc_id) GROUP BY d.doc_id"""
+
+
+def _signed(spark, sf_dir) -> DataFrame:
+    return materialize(minhash.with_signatures(documents(spark, sf_dir)).select("ord", "signature"), "signatures")
+
+
+@query
+def near_dup_pairs(spark, sf_dir):
+    """Pairs of distinct signatures, each named by its first document."""
+    firsts = materialize(_signed(spark, sf_dir).groupBy("signature").agg(F.min("ord").alias("ord")), "firsts")
+    return minhash.near_pairs(firsts)
+
+
+_SIG = f"(SELECT doc_id, list(v ORDER BY i) AS sig FROM {MINIMA_SQL} GROUP BY doc_id)"
+ORACLE_SQL["near_dup_pairs"] = f"""WITH f AS MATERIALIZED (SELECT min(doc_id) AS ord, sig FROM {_SIG} GROUP BY sig),
+  k AS MATERIALIZED (SELECT ord, b, sig[b * 4 + 1:b * 4 + 4] AS part FROM f, range({minhash.BANDS}) r(b)),
+  p AS (SELECT DISTINCT x.ord AS src, y.ord AS dst FROM k x JOIN k y ON x.b = y.b AND x.part = y.part AND x.ord < y.ord)
+  SELECT src, dst, sim FROM (SELECT src, dst, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {float(minhash.NUM_PERM)} AS sim
+  FROM p JOIN f x ON x.ord = src JOIN f y ON y.ord = dst) WHERE sim >= {minhash.THRESHOLD}"""
+
+
+@query
+def near_dedup_greedy(spark, sf_dir):
+    x = minhash.near_dedup(documents(spark, sf_dir))
+    return x.select(F.col("ord").alias("doc_id"), "is_duplicate", "matched_ord", "similarity")
+
+
+# Extraction ---------------------------------------------------------------------
+
+
+@query
+def html_extract(spark, sf_dir):
+    x = extract.extract_html(table(spark, sf_dir, "pages"))
+    return x.select("page_id", "extracted.text", "extracted.title")
+
+
+_LINES = "[x for x in string_split(text, chr(10)) if length(trim(x)) > 0]"
+
+
+def _lines(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x)) > 0).alias("lines"))
+
+
+@query
+def block_scores(spark, sf_dir):
+    """Lines as blocks: those with ``#`` count as headings, digits as link characters."""
+    x = _lines(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode("lines").alias("k", "s"))
+    digits = F.length(F.regexp_replace("s", "[^0-9]", ""))
+    return x.select("doc_id", F.col("k").cast("long").alias("k"), extract.block_scores(F.length("s"), digits, F.contains("s", F.lit("#"))).cast("double").alias("score"))
+
+
+_SCORES = f"""(SELECT doc_id, k - 1 AS k, CASE WHEN contains(s, '#') THEN 0.5 * n * own ELSE n * own * own END AS score FROM
+  (SELECT doc_id, k, s, length(s) AS n, 1.0::DOUBLE - least(CAST(length(regexp_replace(s, '[^0-9]', '', 'g')) AS DOUBLE) / length(s), 1.0::DOUBLE) AS own FROM
+  (SELECT doc_id, unnest({_LINES}) AS s, generate_subscripts({_LINES}, 1) AS k FROM documents)))"""
+ORACLE_SQL["block_scores"] = f"SELECT doc_id, CAST(k AS BIGINT) AS k, CAST(score AS DOUBLE) AS score FROM {_SCORES}"
+
+
+@query
+def best_run(spark, sf_dir):
+    """The best run over whole line lengths, so that sums are exact in any engine."""
+    x = _lines(table(spark, sf_dir, "documents")).select("doc_id", F.transform("lines", lambda s: F.length(s).cast("double")).alias("scores"))
+    x = x.select("doc_id", extract.best_run_native(F.transform("scores", lambda s: s)).alias("r"))
+    return x.select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("stop"))
+
+
+# Pipeline -----------------------------------------------------------------------
+
+
+@query
+def pipeline_decisions(spark, sf_dir):
+    d = P.decide(P.prepare(documents(spark, sf_dir)))
+    return d.select(F.col("ord").alias("doc_id"), "stage", "first_ord", "matched_ord", "similarity")
+
+
+@query
+def pipeline_stats(spark, sf_dir):
+    return P.stage_counts(P.decide(P.prepare(documents(spark, sf_dir)), P.PipelineConfig(run_near_dedup=False, adapt_to_script=False)))
+
+
+_PLAIN = NORMAL_SQL.replace(VARIANT_SQL, "documents")
+ORACLE_SQL["pipeline_stats"] = f"""SELECT stage, count(*) AS n FROM (SELECT doc_id, CASE WHEN text = '' THEN 'empty'
+  WHEN doc_id <> min(CASE WHEN text <> '' THEN doc_id END) OVER (PARTITION BY md5({_comparable_sql('normalized')})) THEN 'exact_duplicate'
+  WHEN {_failures(False)} <> '' THEN 'quality' ELSE 'kept' END AS stage FROM {MEASURES_SQL.replace(NORMAL_SQL, _PLAIN)}) GROUP BY stage"""
+
+
+@query
+def hash_sample(spark, sf_dir):
+    """A sample of 100: the row limit is the feature."""
+    return P.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, 7, "doc_id")
+
+
+ORACLE_SQL["hash_sample"] = "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100"
+
+# Batches and shards -------------------------------------------------------------
+
+
+@query
+def adaptive_batches(spark, sf_dir):
+    """Sequential packing in one partition."""
+    return batching.adaptive_batches(documents(spark, sf_dir), partitions=1)
+
+
+@query
+def padding_efficiency(spark, sf_dir):
+    return batching.padding_efficiency(batching.adaptive_batches(documents(spark, sf_dir)))
+
+
+@query
+def embed_hash(spark, sf_dir):
+    return batching.embed_all(documents(spark, sf_dir), batching.HashingEncoder)
+
+
+@query
+def shard_assignment(spark, sf_dir):
+    x = shards.assign_shards(documents(spark, sf_dir).select("ord"), 64)
+    return x.select(F.col("ord").alias("doc_id"), "position", F.col("shard").cast("long").alias("shard"))
+
+
+ORACLE_SQL["shard_assignment"] = "SELECT doc_id, position, position // 64 AS shard FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents)"
+
+
+@query
+def shard_sizes(spark, sf_dir):
+    x = shards.assign_shards(documents(spark, sf_dir).select("ord"), 64)
+    return x.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("records"))
+
+
+ORACLE_SQL["shard_sizes"] = "SELECT position // 64 AS shard, count(*) AS records FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) GROUP BY 1"
+
+
+@query
+def malformed_accounting(spark, sf_dir):
+    """JSON lines made from the documents, with faults put in, through the strict scan."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.to_json(F.struct(F.concat(F.lit("u"), "doc_id").alias("url"), "text")).alias("j"))
+    k = F.col("ord") % 10
+    value = (
+        F.when(k == 1, F.substring("j", 1, 20)).when(k == 2, F.concat("j", F.lit(" trailing"))).when(k == 3, "[1]").when(k == 4, "null")
+        .when(k == 5, F.lit('{"text": "no url"}')).when(k == 6, F.lit('{"url": 5}')).when(k == 7, F.lit("  ")).otherwise(F.col("j"))
+    )
+    return records.parse_lines(d.select("ord", value.alias("value"))).groupBy("malformed").agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLE_SQL["malformed_accounting"] = "SELECT doc_id % 10 IN (1, 2, 3, 4, 5, 6) AS malformed, count(*) AS n FROM documents WHERE doc_id % 10 <> 7 GROUP BY 1"
+
+# Listings and prices ------------------------------------------------------------
+
+_DAY = "DATE '1997-06-01'"
+
+
+def raw_listings(spark, sf_dir) -> DataFrame:
+    """Orders as scraped listings, with faults by order number."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    price = F.when(k % 11 == 0, "auf Anfrage").when(k % 13 == 0, "").otherwise(F.concat(F.lit("CHF "), F.floor("o_totalprice").cast("string"), F.lit(".—")))
+    return o.select(
+        F.concat(F.lit("l"), k).alias("url"),
+        F.when(k % 7 == 0, F.substring(k.cast("string"), 1, 3)).otherwise(F.lpad((k % 9000 + 1000).cast("string"), 4, "0")).alias("zip"),
+        listings.strip_chars(price, "CHF .—").alias("price_chf"),
+        F.when(k % 5 == 0, "").otherwise(F.concat((k % 6 + 1).cast("string"))).alias("rooms"),
+        F.when(k % 3 == 0, "gross").otherwise((k % 200).cast("string")).alias("area_m2"),
+        F.when(k % 4 == 0, "").otherwise("1. OG").alias("floor"),
+        F.when(k % 6 == 0, "sofort").otherwise(F.date_format("o_orderdate", "d.M.yyyy")).alias("date_available"),
+        F.lit(None).cast("string").alias("utilities_chf"),
+    )
+
+
+@query
+def listing_clean(spark, sf_dir):
+    x = listings.validate_listings(listings.clean_listings(raw_listings(spark, sf_dir)))
+    return x.select("url", "zip", F.col("price_chf").cast("long").alias("price_chf"), "rooms", F.col("area_m2").cast("long").alias("area_m2"), "floor", F.col("date_available").cast("string").alias("date_available"))
+
+
+ORACLE_SQL["listing_clean"] = """SELECT 'l' || o_orderkey AS url, CAST(o_orderkey % 9000 + 1000 AS VARCHAR) AS zip, CAST(floor(o_totalprice) AS BIGINT) AS price_chf,
+  CAST(o_orderkey % 6 + 1 AS VARCHAR) AS rooms, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 200 END AS area_m2,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '1. OG' END AS floor, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_available
+  FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 5 <> 0 AND (o_orderkey % 7 <> 0 OR FALSE)"""
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("ts").alias("date"), F.floor(F.col("value")).cast("long").alias("price_chf"), "event_id")
+
+
+_HIST = "(SELECT 'u' || user_id AS url, ts AS date, CAST(floor(value) AS BIGINT) AS price_chf, event_id FROM events)"
+_LATEST = f"(SELECT url, max_by(price_chf, (date, event_id, price_chf)) AS latest_price_chf FROM {_HIST} GROUP BY url)"
+
+
+@query
+def price_latest(spark, sf_dir):
+    return listings.latest_prices(_history(spark, sf_dir), tie="event_id")
+
+
+ORACLE_SQL["price_latest"] = f"SELECT url, latest_price_chf FROM {_LATEST}"
+
+
+@query
+def price_changes(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("url"), (F.col("c_custkey") % 50).alias("price_chf"))
+    return listings.price_changes(c, _history(spark, sf_dir), tie="event_id")
+
+
+ORACLE_SQL["price_changes"] = f"SELECT c.url, c.price_chf FROM (SELECT 'u' || c_custkey AS url, c_custkey % 50 AS price_chf FROM customer) c LEFT JOIN {_LATEST} USING (url) WHERE c.price_chf IS DISTINCT FROM latest_price_chf"
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.concat(F.lit("u"), "o_custkey").alias("url")).agg(F.max("o_orderdate").cast("date").alias("date_last_seen"))
+
+
+_LISTED = "(SELECT 'u' || o_custkey AS url, CAST(max(o_orderdate) AS DATE) AS date_last_seen FROM orders GROUP BY o_custkey)"
+
+
+@query
+def visited_antijoin(spark, sf_dir):
+    _, new = listings.split_seen(_history(spark, sf_dir).select("url").distinct(), _listed(spark, sf_dir))
+    return new
+
+
+ORACLE_SQL["visited_antijoin"] = f"SELECT DISTINCT url FROM {_HIST} WHERE url NOT IN (SELECT url FROM {_LISTED})"
+
+
+@query
+def touch_last_seen(spark, sf_dir):
+    x = listings.touch_last_seen(_listed(spark, sf_dir), _history(spark, sf_dir), F.expr(_DAY))
+    return x.select("url", F.col("date_last_seen").cast("string").alias("date_last_seen"))
+
+
+ORACLE_SQL["touch_last_seen"] = f"SELECT url, CAST(CASE WHEN url IN (SELECT url FROM {_HIST}) THEN {_DAY} ELSE date_last_seen END AS VARCHAR) AS date_last_seen FROM {_LISTED}"
+
+
+@query
+def recheck_due(spark, sf_dir):
+    return listings.due_for_check(_listed(spark, sf_dir), F.expr(_DAY), 700)
+
+
+ORACLE_SQL["recheck_due"] = f"SELECT url FROM {_LISTED} WHERE date_last_seen > {_DAY} - INTERVAL 700 DAY"
+
+
+@query
+def result_pages(spark, sf_dir):
+    c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("url"), (F.col("n_nationkey") % 7).cast("int").alias("last_page"))
+    return listings.result_pages(c).withColumn("page", F.col("page").cast("long"))
+
+
+ORACLE_SQL["result_pages"] = "SELECT n_name AS url, unnest(range(2, n_nationkey % 7 + 1)) AS page FROM nation"
+
+
+@query
+def arrivals_rank(spark, sf_dir):
+    """Order of arrival of each document within its source: what first-wins operators go by."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("arrival"))
+
+
+ORACLE_SQL["arrivals_rank"] = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS arrival FROM documents"
