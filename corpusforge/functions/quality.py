@@ -16,21 +16,23 @@ from pyspark.sql import functions as F
 from corpusforge.functions.script import dense_characters, is_undetermined, uses_terminal_punctuation, with_script
 from corpusforge.functions.text import LETTER
 
-#: Combining marks that belong to words, by block.
+#: Combining marks that belong to words, by code point.
 MARKS = (
-    r"\x{102b}-\x{103e}\x{f71}-\x{f84}\x{f86}\x{f87}\x{e31}\x{e34}-\x{e3a}\x{e47}-\x{e4e}\x{b82}\x{bbe}-\x{bcd}\x{bd7}"
-    r"\x{a01}-\x{a03}\x{a3c}-\x{a51}\x{981}-\x{983}\x{9bc}\x{9be}-\x{9cd}\x{9d7}\x{9e2}\x{9e3}"
-    r"\x{900}-\x{903}\x{93a}-\x{94f}\x{951}-\x{957}\x{962}\x{963}\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6dc}\x{6df}-\x{6e8}"
-    r"\x{591}-\x{5bd}\x{5bf}\x{5c1}\x{5c2}\x{5c4}\x{5c5}\x{5c7}\x{483}-\x{489}\x{300}-\x{36f}"
+    r"\x{300}-\x{36f}\x{483}-\x{489}\x{591}-\x{5bd}\x{5bf}\x{5c1}\x{5c2}\x{5c4}\x{5c5}\x{5c7}"
+    r"\x{610}-\x{61a}\x{64b}-\x{65f}\x{670}\x{6d6}-\x{6dc}\x{6df}-\x{6e8}"
+    r"\x{900}-\x{903}\x{93a}-\x{94f}\x{951}-\x{957}\x{962}\x{963}\x{981}-\x{983}\x{9bc}\x{9be}-\x{9cd}\x{9d7}\x{9e2}\x{9e3}"
+    r"\x{a01}-\x{a03}\x{a3c}-\x{a51}\x{b82}\x{bbe}-\x{bcd}\x{bd7}\x{e31}\x{e34}-\x{e3a}\x{e47}-\x{e4e}"
+    r"\x{f71}-\x{f84}\x{f86}\x{f87}\x{102b}-\x{103e}"
 )
 #: One class and possessive loops: alternatives in a repeated group overflow Java's stack on long runs.
 WORD = rf"[{LETTER}][{LETTER}{MARKS}]*+(?:['\x{{2019}}-][{LETTER}][{LETTER}{MARKS}]*+)*+"
 WORD_RE2 = WORD.replace("*+", "*")
+#: Bullets, ends of sentences, phrases of page furniture.
 BULLETS = ("*", "-", "•", "‣", "⁃", "◦")
-TERMINALS = (".", "!", "?", "։", "۔", "।", "॥", "።", "。", "！", "？")
+TERMINALS = ("!", ".", "?", "։", "۔", "।", "॥", "።", "。", "！", "？")
 MARKERS = (
-    "access denied", "all rights reserved", "privacy policy", "cookie policy", "terms of use",
-    "lorem ipsum", "enable javascript", "javascript is disabled", "404 not found", "403 forbidden",
+    "403 forbidden", "404 not found", "access denied", "all rights reserved", "cookie policy",
+    "enable javascript", "javascript is disabled", "lorem ipsum", "privacy policy", "terms of use",
 )
 
 

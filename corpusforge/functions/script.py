@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 4096
-#: Code point ranges of each script, as a regex class.
+#: Code point ranges of each script, as a regex class, and traits of scripts.
 SCRIPTS = {
     "arabic": r"\x{600}-\x{6ff}\x{750}-\x{77f}",
     "armenian": r"\x{530}-\x{58f}",

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Python's idea of white space, for Java and RE2 alike.
+#: Fixed values. White space as Python has it, for Java and RE2 alike; what is removed; quotes that are folded.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-INVISIBLE = r"[\x{feff}\x{2060}-\x{2064}\x{202a}-\x{202e}\x{200b}-\x{200f}]"
-CONTROL = r"[\x7f-\x9f\x00-\x08\x0b\x0c\x0e-\x1f]"
+INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 H_SPACE = rf"[{WS.replace(r'\t-\r', r'\t\x0b-\r')}]+"
 BLANK_LINES = rf"\n[{WS}]*\n[{WS}]*\n+"
 QUOTES_FROM = "‘’‚‛′“”„‟″"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.text import canonical_url
 
-#: field -> (position of the scraped value, characters to strip)
+#: Field -> (position of the scraped value, characters to strip)
 FIELDS = {
     "address": (0, None),
     "zip": (1, None),

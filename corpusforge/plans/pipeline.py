@@ -106,8 +106,13 @@ def stage_counts(decided: DataFrame) -> DataFrame:
 
 
 def failure_histogram(reports: DataFrame) -> DataFrame:
-    """(rule, n): documents that fail each rule."""
-    return reports.select(F.explode("quality.failures").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    """(rule, n): documents that fail each rule.
+
+    An inner explode has the optimizer infer a filter on the report and copy its
+    whole expression tree through every projection below; the outer one has not.
+    """
+    rules = reports.select(F.explode_outer("quality.failures").alias("rule")).filter(F.col("rule").isNotNull())
+    return rules.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stats(decided: DataFrame) -> dict:
