@@ -138,17 +138,20 @@ def stage_line_dedup(spark, docs, sf_dir):
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLE = f"""
-WITH l AS (
-  SELECT doc_id, source, raw, n, trim(raw, {_WS}) AS bare
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
+), l AS (
+  SELECT r, doc_id, source, raw, n, trim(raw, {_WS}) AS bare
+  FROM (SELECT r, doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS n FROM d)
 ), b AS (
   SELECT bare, min(doc_id) AS owner FROM l WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= {MIN_SITES}
 ), k AS (
-  SELECT l.*, b.owner, row_number() OVER (PARTITION BY l.doc_id, l.bare ORDER BY n) AS nth FROM l LEFT JOIN b USING (bare)
+  SELECT l.*, b.bare IS NOT NULL AS found, b.owner, row_number() OVER (PARTITION BY l.r, l.bare ORDER BY n) AS nth FROM l LEFT JOIN b USING (bare)
 ), j AS (
-  SELECT *, owner IS NOT NULL AND (owner <> doc_id OR nth > 1) AS gone FROM k
+  SELECT *, found AND (owner IS DISTINCT FROM doc_id OR nth > 1) AS gone FROM k
 )
 SELECT doc_id, CAST(count(*) FILTER (WHERE bare <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
        coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS text
-FROM j GROUP BY doc_id
+FROM j GROUP BY r, doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM d WHERE text IS NULL
 """
