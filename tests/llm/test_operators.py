@@ -166,13 +166,13 @@ def plain_lines(rows, k):
 @pytest.mark.parametrize("k", [2, line_dedup.MIN_SITES])
 def test_op10_both_ways_equal_plain(spark, hard_rows, k, broadcast):
     line = "this line stands on many sites"
-    rows = hard_rows + [{"doc_id": 910_000 + i, "text": f"own {i}\n {line}\n\n{line}\nend", "lang": "en", "source": f"s{i % 9}", "n_chars": 1} for i in range(40)]
+    rows = hard_rows + [{"doc_id": 910_000 + i, "text": f"own {i}\n {line}\n\n{line}\nend {i}", "lang": "en", "source": f"s{i % 9}", "n_chars": 1} for i in range(40)]
     rows += [{"doc_id": None, "text": line, "lang": None, "source": None, "n_chars": None}]
     df = spark.createDataFrame([tuple(d[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for d in rows], DOC)
     got = line_dedup.dedup_lines(df.withColumn("__site_", F.lit(1)), min_sites=k, broadcast_lines=broadcast)
     have = Counter((r["doc_id"], r["__cf_n_lines"], r["__cf_n_removed"], r["text"]) for r in got.collect())
     assert have == plain_lines(rows, k)
-    assert have[910_000, 4, 1, f"own 0\n {line}\n\nend"] == 1 and have[910_001, 4, 2, "own 1\n\nend"] == 1
+    assert have[910_000, 4, 1, f"own 0\n {line}\n\nend 0"] == 1 and have[910_001, 4, 2, "own 1\n\nend 1"] == 1
 
 
 def test_op10_query_equals_sql(spark, hard, hard_rows):
