@@ -7,7 +7,7 @@ ends. Values are reported unrounded; ``rounded`` gives the printed form.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,8 +53,18 @@ def share(n: Column, of: Column, empty: float) -> Column:
     return F.when(of > 0, n.cast("double") / of).otherwise(F.lit(empty))
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the struct ``m`` of what the rules need, each measured once."""
+MEASURES = (
+    "words", "word_chars", "symbols", "tokens", "alpha_tokens", "lines", "bullets", "ellipses", "ended",
+    "line_chars", "distinct_line_chars", "markers", "letters",
+)
+
+
+def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with a column ``__m_<name>`` for each thing the rules need, and those columns by name.
+
+    They are columns and not fields of a struct: the optimizer puts a struct's fields
+    in place of every mention of them, so that each would be measured again and again.
+    """
     own = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
     tokens = F.filter(F.split(t, "[ \n]+", -1), lambda x: x != "")
@@ -78,24 +88,30 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         "markers": sum((F.contains(F.lower(t), F.lit(k)).cast("int") for k in MARKERS), F.lit(0)),
         "letters": F.length(F.regexp_replace(t, r"[^\p{L}]", "")),
     }
-    return x.select(*own, F.struct(*[v.cast("long").alias(k) for k, v in m.items()]).alias("m"))
+    return x.select(*own, *[m[k].cast("long").alias(f"__m_{k}") for k in MEASURES]), {k: F.col(f"__m_{k}") for k in MEASURES}
+
+
+def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the struct ``m`` of the measures."""
+    x, m = measured(df, text)
+    return x.select(*df.columns, F.struct(*[c.alias(k) for k, c in m.items()]).alias("m"))
 
 
 @dataclass(frozen=True)
 class Rule:
     """A rule: a value made of the measures, and the range in which it passes.
 
-    ``metric`` maps the struct of measures (and the text) to a Column, so a rule of
-    one's own is one more object.
+    ``metric`` maps the measures, by name, to a Column, so a rule of one's own is one
+    more object.
     """
 
     name: str
-    metric: Callable[[Column], Column]
+    metric: Callable[[Mapping[str, Column] | Column], Column]
     low: float | None = None
     high: float | None = None
     digits: int | None = None
 
-    def build(self, m: Column) -> Column:
+    def build(self, m: Mapping[str, Column] | Column) -> Column:
         v = self.metric(m).cast("double")
         ok = F.lit(True)
         if self.low is not None:
@@ -123,7 +139,7 @@ DEFAULT_RULES = (WORD_COUNT, MEAN_WORD, SYMBOL_WORD, ALPHA_WORD, *_LINE_RULES)
 NON_SPACE_RULES = (CHAR_COUNT, SYMBOL_CHAR, *_LINE_RULES)
 
 
-def select_rules(m: Column, script: Column, space_delimited: Column) -> Column:
+def select_rules(m: Mapping[str, Column] | Column, script: Column, space_delimited: Column) -> Column:
     """Array of rule results for the traits of each row's script."""
     spaced = F.array(*[r.build(m) for r in DEFAULT_RULES])
     dense = F.array(*[(MEAN_WORD_DENSE if r is MEAN_WORD else r).build(m) for r in DEFAULT_RULES])
@@ -139,13 +155,13 @@ def assess(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = N
     With rules given, or adapt_to_script off, the script is null.
     """
     own = df.columns
-    x = with_measures(df, text)
+    x, m = measured(df, text)
     if rules is None and adapt_to_script:
         x = with_script(x, text)
-        results = select_rules(F.col("m"), F.col("script"), F.col("space_delimited"))
+        results = select_rules(m, F.col("script"), F.col("space_delimited"))
         x = x.withColumn("__r", results)
     else:
-        x = x.withColumn("__r", F.array(*[r.build(F.col("m")) for r in rules or DEFAULT_RULES]))
+        x = x.withColumn("__r", F.array(*[r.build(m) for r in rules or DEFAULT_RULES]))
         x = x.withColumns({"script": F.lit(None).cast("string"), "script_confidence": F.lit(None).cast("double"), "space_delimited": F.lit(None).cast("boolean")})
     report = F.struct(
         F.forall("__r", lambda r: r["passed"]).alias("passed"),

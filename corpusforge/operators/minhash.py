@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusforge.session import materialize
 
@@ -56,14 +57,18 @@ def with_signatures(df: DataFrame, text: str = "text", num_perm: int = NUM_PERM,
     a, b = (np.array(x, np.int64) for x in zip(*coefficients(num_perm, seed)))
     hashed = df.withColumn("__h", F.transform(shingles(F.coalesce(F.col(text), F.lit("")), ngram), shingle_hash))
 
-    @F.arrow_udf("array<bigint>")
-    def minima(h: pa.Array) -> pa.Array:
-        flat, offsets = h.values.to_numpy(), h.offsets.to_numpy()
-        rows = [signature_of(flat[x:y], a, b) for x, y in zip(offsets[:-1], offsets[1:])]
-        values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(a), pa.int32()), pa.array(values))
+    at, schema = hashed.columns.index("__h"), T.StructType([*df.schema.fields, T.StructField("signature", T.ArrayType(T.LongType()))])
 
-    return hashed.withColumn("signature", minima("__h")).drop("__h")
+    def work(batches):
+        for batch in batches:
+            h = batch.column(at)
+            flat, offsets = h.values.to_numpy(), h.offsets.to_numpy()
+            rows = [signature_of(flat[x:y], a, b) for x, y in zip(offsets[:-1], offsets[1:])]
+            values = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * len(a), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(at)], own], schema.names)
+
+    return hashed.mapInArrow(work, schema)
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -91,37 +96,58 @@ def band_keys(signed: DataFrame, key: str = "ord", num_perm: int = NUM_PERM, ban
     return signed.select(F.col(key), F.posexplode(parts).alias("band", "band_key"))
 
 
+def candidates(signed: DataFrame, key: str = "ord", num_perm: int = NUM_PERM, bands: int = BANDS) -> DataFrame:
+    """(src, dst): src < dst, distinct, of all that share a band."""
+    k = band_keys(signed, key, num_perm, bands)
+    a, b = k.withColumnRenamed(key, "src"), k.withColumnRenamed(key, "dst")
+    return a.join(b, ["band", "band_key"]).filter("src < dst").select("src", "dst").distinct()
+
+
 def near_pairs(signed: DataFrame, threshold: float = THRESHOLD, key: str = "ord", num_perm: int = NUM_PERM, bands: int = BANDS) -> DataFrame:
     """(src, dst, sim): src < dst in input order, verified on the whole signatures.
 
     Equal signatures are one node, named by its first document, so a group of copies
     is not paired within itself; callers give copies their first's fate.
     """
-    k = band_keys(signed, key, num_perm, bands)
-    a, b = k.withColumnRenamed(key, "src"), k.withColumnRenamed(key, "dst")
-    pairs = a.join(b, ["band", "band_key"]).filter("src < dst").select("src", "dst").distinct()
+    pairs = candidates(signed, key, num_perm, bands)
     s = signed.select(F.col(key), "signature")
     x = pairs.join(s.select(F.col(key).alias("src"), F.col("signature").alias("sa")), "src").join(s.select(F.col(key).alias("dst"), F.col("signature").alias("sb")), "dst")
     return x.select("src", "dst", similarity(F.col("sa"), F.col("sb")).alias("sim")).filter(F.col("sim") >= threshold)
 
 
-def first_wins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Who stays, going through ``nodes`` (ord) in order and dropping whoever has an earlier kept neighbour.
+def shared_buckets(signed: DataFrame, num_perm: int = NUM_PERM, bands: int = BANDS) -> DataFrame:
+    """(bucket, ord) of the buckets that hold two or more signatures."""
+    keys = materialize(band_keys(signed, "ord", num_perm, bands).select(F.col("band_key").alias("bucket"), "ord"), "keys")
+    many = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    return materialize(keys.join(many, "bucket", "left_semi"), "buckets")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (a, b) whose signatures agree at ``threshold``, with ``sim``."""
+    s = lambda c: signed.select(F.col("ord").alias(c), F.col("signature").alias(f"s{c}"))
+    x = pairs.distinct().join(s("a"), "a").join(s("b"), "b")
+    return x.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("sim")).filter(F.col("sim") >= threshold)
+
+
+def first_wins(signed: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Ordinals that go when ``signed`` (ord, signature) is gone through in order, dropping whoever has an earlier kept neighbour.
 
-    That is the lexicographically first maximal independent set. Each round keeps the
-    nodes whose earlier neighbours are all dropped and drops those with a kept one;
-    undecided nodes shrink every round, which is written to the shared folder.
+    A round keeps each undecided document that is the first one left in all its
+    buckets, and compares it with the others there. So a bucket makes a row for each
+    member and kept document and never the pairs among its members, and a group of
+    near copies is settled as soon as its first is. The first undecided document of
+    all is kept in every round, which is written to the shared folder.
     """
-    touched = edges.select(F.col("dst").alias("ord")).distinct()
-    kept = nodes.select("ord").join(touched, "ord", "left_anti")
-    state = materialize(nodes.select("ord").join(touched, "ord", "left").withColumn("kept", F.lit(None).cast("boolean")), "state")
-    state = materialize(state.join(kept.withColumn("free", F.lit(True)), "ord", "left").select("ord", F.col("free").alias("kept")), "state")
-    while state.filter("kept IS NULL").limit(1).count():
-        near = edges.join(state.select(F.col("ord").alias("src"), F.col("kept").alias("of")), "src")
-        fate = near.groupBy(F.col("dst").alias("ord")).agg(F.max(F.coalesce("of", F.lit(False))).alias("hit"), F.count_if(F.col("of").isNull()).alias("open"))
-        new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
-        state = materialize(state.join(fate, "ord", "left").select("ord", new.alias("kept")), "state")
-    return state
+    open_, gone = buckets, None
+    while open_.limit(1).count():
+        x = open_.join(open_.groupBy("bucket").agg(F.min("ord").alias("lead")), "bucket")
+        kept = materialize(x.groupBy("ord").agg(F.max(F.col("lead") < F.col("ord")).alias("blocked")).filter("NOT blocked").select("ord"), "kept")
+        star = x.filter("lead < ord").join(kept.select(F.col("ord").alias("lead")), "lead", "left_semi")
+        hit = _verified(star.select(F.col("lead").alias("a"), F.col("ord").alias("b")), signed, threshold)
+        hit = materialize(hit.select(F.col("b").alias("ord")).distinct(), "dropped")
+        gone = hit if gone is None else gone.unionByName(hit)
+        open_ = materialize(open_.join(kept.unionByName(hit), "ord", "left_anti"), "undecided")
+    return gone if gone is not None else signed.select("ord").limit(0)
 
 
 def near_dedup(df: DataFrame, text: str = "text", ord_: str = "ord", threshold: float = THRESHOLD, num_perm: int = NUM_PERM, bands: int = BANDS, ngram: int = NGRAM) -> DataFrame:
@@ -132,14 +158,15 @@ def near_dedup(df: DataFrame, text: str = "text", ord_: str = "ord", threshold:
     lsh_rows(num_perm, bands)
     signed = materialize(with_signatures(df.select(F.col(ord_).alias("ord"), F.col(text).alias("text")), "text", num_perm, ngram).select("ord", "signature"), "signatures")
     # Documents with one signature share the fate of the first: it is kept or, dropped, drops them too.
-    firsts = signed.groupBy("signature").agg(F.min("ord").alias("ord"))
-    firsts = materialize(firsts, "firsts")
-    edges = materialize(near_pairs(firsts, threshold, "ord", num_perm, bands), "pairs")
-    state = first_wins(firsts, edges)
-    of = firsts.select("signature", F.col("ord").alias("f")).join(state.select(F.col("ord").alias("f"), "kept"), "f")
+    firsts = materialize(signed.groupBy("signature").agg(F.min("ord").alias("ord")), "firsts")
+    buckets = shared_buckets(firsts, num_perm, bands)
+    gone = materialize(first_wins(firsts, buckets, threshold), "gone")
+    of = firsts.join(gone.withColumn("gone", F.lit(True)), "ord", "left").select("signature", F.col("ord").alias("f"), F.col("gone").isNull().alias("kept"))
     x = signed.join(of, "signature").select("ord", "f", "kept")
-    near = edges.select(F.col("src").alias("nb"), F.col("dst").alias("f"), "sim").unionByName(edges.select(F.col("dst").alias("nb"), F.col("src").alias("f"), "sim"))
-    near = near.join(state.filter("kept").select(F.col("ord").alias("nb")), "nb")
+    # Kept documents in the buckets of dropped ones: what a dropped document can match.
+    stay, went = buckets.join(gone, "ord", "left_anti"), buckets.join(gone, "ord", "left_semi")
+    met = stay.select("bucket", F.col("ord").alias("a")).join(went.select("bucket", F.col("ord").alias("b")), "bucket").select("a", "b")
+    near = _verified(met, firsts, threshold).select(F.col("a").alias("nb"), F.col("b").alias("f"), "sim")
     best = x.filter(~F.col("kept")).join(near, "f").filter("nb < ord").groupBy("ord").agg(F.max(F.struct("sim", (-F.col("nb")).alias("m"))).alias("best"))
     x = x.join(best, "ord", "left")
     first = F.col("ord") == F.col("f")

@@ -294,11 +294,37 @@ ORACLE_SQL["exact_dup_classes"] = f"SELECT md5({_comparable_sql('normalized')})
 # Near dedup ---------------------------------------------------------------------
 
 _COEF = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(minhash.coefficients()))
-SHINGLES_SQL = f"""(SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {minhash.NGRAM} THEN [array_to_string(w, ' ')]
+
+
+def _shingles_sql(source: str) -> str:
+    return f"""(SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < {minhash.NGRAM} THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - {minhash.NGRAM - 2}), lambda i: array_to_string(w[i:i + {minhash.NGRAM - 1}], ' '))) END) AS s
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{minhash.TOKEN}') AS w FROM documents))"""
-MINIMA_SQL = f"""(SELECT doc_id, i, min((a * h + b) % {minhash.PRIME}) AS v FROM
-  (SELECT DISTINCT doc_id, (('0x' || left(md5(s), 8))::BIGINT & {minhash.PRIME}) AS h FROM {SHINGLES_SQL}), (VALUES {_COEF}) p(i, a, b) GROUP BY doc_id, i)"""
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{minhash.TOKEN}') AS w FROM {source}))"""
+
+
+def _minima_sql(source: str) -> str:
+    return f"""(SELECT doc_id, i, min((a * h + b) % {minhash.PRIME}) AS v FROM
+  (SELECT DISTINCT doc_id, (('0x' || left(md5(s), 8))::BIGINT & {minhash.PRIME}) AS h FROM {_shingles_sql(source)}), (VALUES {_COEF}) p(i, a, b) GROUP BY doc_id, i)"""
+
+
+SHINGLES_SQL, MINIMA_SQL = _shingles_sql("documents"), _minima_sql("documents")
+_ROWS = minhash.lsh_rows()
+
+
+def _greedy_ctes(source: str) -> str:
+    """Common tables up to ``near``: the documents of ``source`` gone through one by one."""
+    return f"""g AS MATERIALIZED (SELECT d.doc_id, coalesce(sig, list_transform(range({minhash.NUM_PERM}), lambda x: {minhash.EMPTY}::BIGINT)) AS sig
+    FROM {source} d LEFT JOIN (SELECT doc_id, list(v ORDER BY i) AS sig FROM {_minima_sql(source)} GROUP BY doc_id) USING (doc_id)),
+  k AS MATERIALIZED (SELECT doc_id, b, sig[b * {_ROWS} + 1:b * {_ROWS} + {_ROWS}] AS part FROM g, range({minhash.BANDS}) r(b)),
+  p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.b = y.b AND x.part = y.part AND x.doc_id < y.doc_id),
+  e AS MATERIALIZED (SELECT a, b, sim FROM (SELECT a, b, len(list_filter(list_zip(x.sig, y.sig), lambda z: z[1] = z[2])) / {float(minhash.NUM_PERM)} AS sim
+    FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b) WHERE sim >= {minhash.THRESHOLD}),
+  n AS MATERIALIZED (SELECT b, earlier, row_number() OVER (ORDER BY b) AS pos FROM (SELECT b, list(a) AS earlier FROM e GROUP BY b)),
+  w AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS gone UNION ALL
+    SELECT n.pos, CASE WHEN list_has_all(w.gone, n.earlier) THEN w.gone ELSE list_append(w.gone, n.b) END FROM w JOIN n ON n.pos = w.pos + 1),
+  z AS MATERIALIZED (SELECT unnest(gone) AS b FROM w WHERE pos = (SELECT max(pos) FROM w)),
+  m AS (SELECT e.b, a, sim, row_number() OVER (PARTITION BY e.b ORDER BY sim DESC, a) AS q FROM e JOIN z ON z.b = e.b WHERE a NOT IN (SELECT b FROM z)),
+  near AS (SELECT g.doc_id, z.b IS NOT NULL AS is_duplicate, m.a AS matched_ord, m.sim AS similarity FROM g LEFT JOIN z ON z.b = g.doc_id LEFT JOIN m ON m.b = g.doc_id AND m.q = 1)"""
 
 
 @query
@@ -339,12 +365,27 @@ ORACLE_SQL["near_dup_pairs"] = f"""WITH f AS MATERIALIZED (SELECT min(doc_id) AS
   FROM p JOIN f x ON x.ord = src JOIN f y ON y.ord = dst) WHERE sim >= {minhash.THRESHOLD}"""
 
 
+@query
+def lsh_candidates(spark, sf_dir):
+    """Pairs of distinct signatures that share a band, each named by its first document."""
+    firsts = materialize(_signed(spark, sf_dir).groupBy("signature").agg(F.min("ord").alias("ord")), "firsts")
+    return minhash.candidates(firsts)
+
+
+ORACLE_SQL["lsh_candidates"] = f"""WITH f AS MATERIALIZED (SELECT min(doc_id) AS ord, sig FROM {_SIG} GROUP BY sig),
+  k AS MATERIALIZED (SELECT ord, b, sig[b * 4 + 1:b * 4 + 4] AS part FROM f, range({minhash.BANDS}) r(b))
+  SELECT DISTINCT x.ord AS src, y.ord AS dst FROM k x JOIN k y ON x.b = y.b AND x.part = y.part AND x.ord < y.ord"""
+
+
 @query
 def near_dedup_greedy(spark, sf_dir):
     x = minhash.near_dedup(documents(spark, sf_dir))
     return x.select(F.col("ord").alias("doc_id"), "is_duplicate", "matched_ord", "similarity")
 
 
+ORACLE_SQL["near_dedup_greedy"] = f"WITH RECURSIVE {_greedy_ctes('documents')} SELECT * FROM near"
+
+
 # Extraction ---------------------------------------------------------------------
 
 
@@ -354,6 +395,16 @@ def html_extract(spark, sf_dir):
     return x.select("page_id", "extracted.text", "extracted.title")
 
 
+@query
+def html_title(spark, sf_dir):
+    x = extract.extract_html(table(spark, sf_dir, "pages"))
+    return x.select("page_id", "extracted.title")
+
+
+_TITLE = "replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&amp;', '&')"
+ORACLE_SQL["html_title"] = f"SELECT page_id, nullif(trim({_re(_TITLE, '[ \\t\\n\\r]+', ' ')}), '') AS title FROM pages"
+
+
 _LINES = "[x for x in string_split(text, chr(10)) if length(trim(x)) > 0]"
 
 
@@ -403,6 +454,15 @@ ORACLE_SQL["pipeline_stats"] = f"""SELECT stage, count(*) AS n FROM (SELECT doc_
   WHEN {_failures(False)} <> '' THEN 'quality' ELSE 'kept' END AS stage FROM {MEASURES_SQL.replace(NORMAL_SQL, _PLAIN)}) GROUP BY stage"""
 
 
+_JUDGED = f"""(SELECT doc_id, text, {_failures(True)} AS failures FROM (SELECT *, {_SPACED} AS spaced
+  FROM {MEASURES_SQL.replace(NORMAL_SQL, _PLAIN)} JOIN {SCRIPT_SQL.replace(NORMAL_SQL, _PLAIN)} USING (doc_id)))"""
+ORACLE_SQL["pipeline_decisions"] = f"""WITH RECURSIVE base AS MATERIALIZED (SELECT doc_id, text, failures,
+    CASE WHEN text <> '' THEN min(CASE WHEN text <> '' THEN doc_id END) OVER (PARTITION BY md5({_comparable_sql('normalized')})) END AS first_ord FROM {_JUDGED}),
+  good AS MATERIALIZED (SELECT doc_id, text FROM base WHERE first_ord = doc_id AND failures = ''), {_greedy_ctes('good')}
+  SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN first_ord <> doc_id THEN 'exact_duplicate' WHEN failures <> '' THEN 'quality'
+    WHEN is_duplicate THEN 'near_duplicate' ELSE 'kept' END AS stage, first_ord, matched_ord, similarity FROM base LEFT JOIN near USING (doc_id)"""
+
+
 @query
 def hash_sample(spark, sf_dir):
     """A sample of 100: the row limit is the feature."""
@@ -420,9 +480,21 @@ def adaptive_batches(spark, sf_dir):
     return batching.adaptive_batches(documents(spark, sf_dir), partitions=1)
 
 
+_PACKED = f"""s AS MATERIALIZED (SELECT ord, length, row_number() OVER (ORDER BY length, ord) AS pos FROM (SELECT doc_id AS ord, length(text) AS length FROM documents)),
+  r AS (SELECT pos, ord, length, 1 AS n, 0::BIGINT AS batch_id FROM s WHERE pos = 1 UNION ALL
+    SELECT pos, ord, length, CASE WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN full_ THEN batch_id + 1 ELSE batch_id END FROM
+    (SELECT s.pos, s.ord, s.length, r.n, r.batch_id, r.n + 1 > {batching.MAX_SIZE} OR s.length * (r.n + 1) > {batching.MAX_TOKENS} AS full_ FROM r JOIN s ON s.pos = r.pos + 1))"""
+ORACLE_SQL["adaptive_batches"] = f"WITH RECURSIVE {_PACKED} SELECT ord, length, batch_id FROM r"
+
+
 @query
 def padding_efficiency(spark, sf_dir):
-    return batching.padding_efficiency(batching.adaptive_batches(documents(spark, sf_dir)))
+    """Of the sequential packing: with more partitions it depends on their number."""
+    return batching.padding_efficiency(batching.adaptive_batches(documents(spark, sf_dir), partitions=1))
+
+
+ORACLE_SQL["padding_efficiency"] = f"""WITH RECURSIVE {_PACKED} SELECT CAST(sum(real) AS DOUBLE) / CAST(sum(padded) AS DOUBLE) AS padding_efficiency
+  FROM (SELECT sum(length) AS real, max(length) * count(*) AS padded FROM r GROUP BY batch_id)"""
 
 
 @query
@@ -556,6 +628,42 @@ def recheck_due(spark, sf_dir):
 ORACLE_SQL["recheck_due"] = f"SELECT url FROM {_LISTED} WHERE date_last_seen > {_DAY} - INTERVAL 700 DAY"
 
 
+@query
+def price_append(spark, sf_dir):
+    """The price history with a row for each checked price."""
+    checked = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("url"), (F.col("c_custkey") % 50).alias("price_chf"))
+    history = _history(spark, sf_dir).select("url", F.col("date").cast("date").alias("date"), "price_chf")
+    return listings.append_prices(history, checked, F.expr(_DAY)).withColumn("date", F.col("date").cast("string"))
+
+
+ORACLE_SQL["price_append"] = f"""SELECT url, CAST(CAST(date AS DATE) AS VARCHAR) AS date, price_chf FROM {_HIST}
+  UNION ALL SELECT 'u' || c_custkey, CAST({_DAY} AS VARCHAR), c_custkey % 50 FROM customer"""
+
+
+@query
+def listing_load(spark, sf_dir):
+    """Scraped arrays of strings to fields: the n-th value, stripped; empty is null."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    junk, none = F.lit("x"), F.array().cast("array<string>")
+    raw = o.select(
+        F.concat(F.lit("l"), k).alias("url"),
+        F.array(F.concat(F.lit("Street "), k)).alias("address"),
+        F.array(junk, F.lpad(k, 4, "0")).alias("zip"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.array(junk, junk, junk, F.lit("Town"))).otherwise(none).alias("city"),
+        F.array(junk, junk, junk, junk, F.lit("ZH, ")).alias("canton"),
+        F.array(F.concat(k, F.lit(" Zimer"))).alias("rooms"),
+        F.array(junk, junk, F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(F.concat(k, F.lit(" m²")))).alias("area_m2"),
+        F.array(F.concat(F.lit("CHF "), k, F.lit(".—"))).alias("price_chf"),
+    )
+    return listings.load_items(raw)
+
+
+ORACLE_SQL["listing_load"] = """SELECT 'l' || o_orderkey AS url, 'Street ' || o_orderkey AS address, lpad(o_orderkey::VARCHAR, 4, '0') AS zip,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Town' END AS city, 'ZH' AS canton, o_orderkey::VARCHAR AS rooms,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR END AS area_m2, o_orderkey::VARCHAR AS price_chf FROM orders"""
+
+
 @query
 def result_pages(spark, sf_dir):
     c = table(spark, sf_dir, "nation").select(F.col("n_name").alias("url"), (F.col("n_nationkey") % 7).cast("int").alias("last_page"))

@@ -16,7 +16,7 @@ from corpusforge.operators.minhash import BANDS, NUM_PERM, THRESHOLD, near_dedup
 from corpusforge.plans import pipeline as P
 from corpusforge.session import build_session
 from corpusforge.sources.records import read_jsonl
-from corpusforge.sources.shards import SHARD_SIZE, write_jsonl_shards
+from corpusforge.sources.shards import SHARD_SIZE, Folder, write_jsonl_shards
 
 
 def say(text: str) -> None:
@@ -49,7 +49,7 @@ def build(spark, source: str, out_dir: str, config: P.PipelineConfig = P.Pipelin
     decided = P.materialize(P.decide(P.prepare(read_jsonl(spark, source), config), config), "decided")
     manifest = write_jsonl_shards(record_lines(P.kept_records(decided)), out_dir, shard_size, compress=compress, line="line")
     report = {"stats": P.stats(decided), "manifest": manifest}
-    Path(out_dir, "stats.json").write_text(json.dumps(report, indent=2) + "\n", encoding="utf-8")
+    Folder(spark, out_dir).write("stats.json", json.dumps(report, indent=2) + "\n")
     return report
 
 

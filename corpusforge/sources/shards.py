@@ -1,31 +1,72 @@
-"""Fixed-size shards with a manifest: JSONL through a Python data source, Parquet through Spark's writer.
+"""Fixed-size shards with a manifest, JSONL or Parquet, on any file system that Spark can write.
 
 Shards are exact: shard k holds records k*size to (k+1)*size - 1 in input order. Record
-numbers come from counts by partition, so no task sees all rows. The manifest is written
-last, from what the tasks report, so a directory with a manifest is complete.
+numbers come from counts by range, so no task sees all rows. Spark's own writers put one
+file for each shard into a staging folder, so tasks can be lost and run again; the driver
+then only renames files. The manifest is written last: a folder with a manifest is complete.
 """
 
 from __future__ import annotations
 
-import gzip
 import json
-import os
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.window import Window as W
 
 from corpusforge.session import materialize
 
 SHARD_SIZE = 10_000
+MANIFEST = "manifest.json"
 
 
 def shard_name(prefix: str, index: int, ext: str) -> str:
     return f"{prefix}-{index:05d}.{ext}"
 
 
+class Folder:
+    """Files of one folder, through Hadoop's file systems."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def size(self, name: str) -> int:
+        return self.fs.getFileStatus(self._path(name)).getLen()
+
+    def names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))]
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
+    def move(self, name: str, to: str) -> None:
+        self.delete(to)
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"could not move {name} to {to} in {self.root}")
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self._path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        self.fs.mkdirs(self._path(""))
+        stream = self.fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+
 def with_positions(df: DataFrame, ord_: str = "ord", buckets: int = 256) -> DataFrame:
     """Adds ``position``, 0-based by ``ord_``, with a window for each range of it and not one for all rows."""
     x = materialize(df, "numbered")
@@ -45,158 +86,69 @@ def assign_shards(df: DataFrame, shard_size: int = SHARD_SIZE, ord_: str = "ord"
     return with_positions(df, ord_).withColumn("shard", F.floor(F.col("position") / shard_size).cast("int"))
 
 
-@dataclass
-class ShardsWritten(WriterCommitMessage):
-    shards: list
-
-
-def _manifest(fmt: str, shard_size: int, shards: list[dict], **more) -> dict:
-    shards = [s | {"path": os.path.basename(s["path"])} for s in sorted(shards, key=lambda s: s["path"])]
-    return {"format": fmt, **more, "total_records": sum(s["records"] for s in shards), "shard_count": len(shards), "shard_size": shard_size, "shards": shards}
-
-
-def _write_manifest(out_dir: str, manifest: dict) -> dict:
-    os.makedirs(out_dir, exist_ok=True)
-    with open(os.path.join(out_dir, "manifest.json"), "w", encoding="utf-8") as f:
-        f.write(json.dumps(manifest, indent=2) + "\n")
+def _write(placed: DataFrame, cols: list, fmt: str, out_dir: str, prefix: str, ext: str, shard_size: int, **more) -> dict:
+    """Writes ``cols`` of placed rows, a file for each shard; returns the manifest."""
+    spark = placed.sparkSession
+    out, stage = Folder(spark, out_dir), "_staging"
+    out.delete(MANIFEST)
+    dealt = placed.select("shard", "position", *cols).repartition("shard").sortWithinPartitions("shard", "position").drop("position")
+    writer = dealt.write.mode("overwrite").partitionBy("shard")
+    for k, v in more.items():
+        writer = writer.option(k, v)
+    writer.format(fmt).save(f"{out.root}/{stage}")
+    found = sorted(int(n.split("=")[1]) for n in out.names(stage) if n.startswith("shard="))
+    total = placed.count() if found else 0
+    shards = []
+    for k in found:
+        (part,) = [n for n in out.names(f"{stage}/shard={k}") if n.startswith("part-")]
+        name = shard_name(prefix, k, ext)
+        out.move(f"{stage}/shard={k}/{part}", name)
+        shards.append({"path": name, "records": min(shard_size, total - k * shard_size), "bytes": out.size(name)})
+    out.delete(stage)
+    manifest = {"format": ext, **({"compression": more["compression"]} if ext == "parquet" else {}), "total_records": total, "shard_count": len(shards), "shard_size": shard_size, "shards": shards}
+    out.write(MANIFEST, json.dumps(manifest, indent=2) + "\n")
     return manifest
 
 
-class JsonlShardWriter(DataSourceWriter):
-    """Writes (shard, line) rows that come sorted by shard; each shard is whole in one task."""
-
-    def __init__(self, options):
-        self.out, self.prefix = options["path"], options.get("prefix", "shard")
-        self.size, self.compress = int(options.get("shard_size", SHARD_SIZE)), options.get("compress", "true") == "true"
-
-    def write(self, rows):
-        os.makedirs(self.out, exist_ok=True)
-        done, file, now, n, path = [], None, None, 0, ""
-        ext = "jsonl.gz" if self.compress else "jsonl"
-
-        def close():
-            if file:
-                file.close()
-                os.replace(path + ".part", path)
-                done.append({"path": path, "records": n, "bytes": os.path.getsize(path)})
-
-        for shard, line in rows:
-            if shard != now:
-                close()
-                now, n, path = shard, 0, os.path.join(self.out, shard_name(self.prefix, shard, ext))
-                file = gzip.open(path + ".part", "wt", encoding="utf-8") if self.compress else open(path + ".part", "w", encoding="utf-8")  # noqa: SIM115
-            file.write(line + "\n")
-            n += 1
-        close()
-        return ShardsWritten(done)
-
-    def commit(self, messages):
-        shards = [s for m in messages if m is not None for s in m.shards]
-        _write_manifest(self.out, _manifest("jsonl.gz" if self.compress else "jsonl", self.size, shards))
-
-    def abort(self, messages):
-        """Finished shards stay, as does a manifest that lists them."""
-        self.commit(messages)
-
-
-class ShardReader(DataSourceReader):
-    def __init__(self, options):
-        self.dir = options["path"]
-
-    def partitions(self):
-        path = os.path.join(self.dir, "manifest.json")
-        if not os.path.exists(path):
-            raise FileNotFoundError(f"{self.dir} has no manifest.json")
-        with open(path, encoding="utf-8") as f:
-            shards = json.load(f)["shards"]
-        at, out = 0, []
-        for s in shards:
-            file = os.path.join(self.dir, s["path"])
-            if not os.path.exists(file):
-                raise FileNotFoundError(f"{s['path']} is in the manifest but missing")
-            out.append(InputPartition((file, at)))
-            at += s["records"]
-        return out or [InputPartition(("", 0))]
-
-    def read(self, partition):
-        file, at = partition.value
-        if not file:
-            return
-        with gzip.open(file, "rt", encoding="utf-8") if file.endswith(".gz") else open(file, encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    yield at, line.strip()
-                    at += 1
-
-
-class JsonlShards(DataSource):
-    """Format ``jsonl_shards``: reads (position, value) by the manifest; writes (shard, line)."""
-
-    @classmethod
-    def name(cls):
-        return "jsonl_shards"
-
-    def schema(self):
-        return "position long, value string"
-
-    def reader(self, schema):
-        return ShardReader(self.options)
-
-    def writer(self, schema, overwrite):
-        return JsonlShardWriter(self.options)
-
-
 def write_jsonl_shards(df: DataFrame, out_dir: str, shard_size: int = SHARD_SIZE, prefix: str = "shard", compress: bool = True, ord_: str = "ord", line: str | None = None) -> dict:
     """Writes the rows of ``df`` in order of ``ord_``; returns the manifest. ``line``: a column that is JSON already."""
     placed = assign_shards(df, shard_size, ord_)
     keep = [c for c in df.columns if c != ord_]
-    rows = placed.select("shard", "position", F.col(line).alias("line") if line else F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("line"))
-    df.sparkSession.dataSource.register(JsonlShards)
-    os.makedirs(out_dir, exist_ok=True)
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "position").select("shard", "line")
-    rows.write.format("jsonl_shards").option("shard_size", shard_size).option("prefix", prefix).option("compress", str(compress).lower()).mode("append").save(out_dir)
-    with open(os.path.join(out_dir, "manifest.json"), encoding="utf-8") as f:
-        return json.load(f)
-
-
-def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
-    """(position, value): JSON lines in shard order, by the manifest and not by what files there are."""
-    spark.dataSource.register(JsonlShards)
-    return spark.read.format("jsonl_shards").load(out_dir)
+    text = F.col(line) if line else F.to_json(F.struct(*keep), {"ignoreNullFields": "false"})
+    return _write(placed, [text.alias("line")], "text", out_dir, prefix, "jsonl.gz" if compress else "jsonl", shard_size, compression="gzip" if compress else "none")
 
 
 def write_parquet_shards(df: DataFrame, out_dir: str, shard_size: int = SHARD_SIZE, prefix: str = "shard", compression: str = "zstd", ord_: str = "ord") -> dict:
     """Parquet shards of one fixed schema; returns the manifest."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-
-    placed = assign_shards(df, shard_size, ord_).drop(ord_)
-    os.makedirs(out_dir, exist_ok=True)
-    cols = [c for c in placed.columns if c not in ("shard", "position")]
-
-    def work(batches):
-        now, held = None, []
-
-        def flush():
-            table = pa.Table.from_batches(held).select(cols)
-            path = os.path.join(out_dir, shard_name(prefix, now, "parquet"))
-            pq.write_table(table, path + ".part", compression=compression)
-            os.replace(path + ".part", path)
-            return pa.RecordBatch.from_pydict({"path": [path], "records": [table.num_rows], "bytes": [os.path.getsize(path)]})
-
-        for b in batches:
-            shards = b.column(b.schema.get_field_index("shard")).to_numpy()
-            at = 0
-            while at < len(shards):
-                end = at + int((shards[at:] == shards[at]).argmin() or len(shards) - at) if shards[-1] != shards[at] else len(shards)
-                if now is not None and shards[at] != now:
-                    yield flush()
-                    held = []
-                now = int(shards[at])
-                held.append(b.slice(at, end - at))
-                at = end
-        if held:
-            yield flush()
-
-    rows = placed.repartition("shard").sortWithinPartitions("shard", "position").mapInArrow(work, "path string, records long, bytes long").collect()
-    return _write_manifest(out_dir, _manifest("parquet", shard_size, [r.asDict() for r in rows], compression=compression))
+    placed = assign_shards(df, shard_size, ord_)
+    return _write(placed, [c for c in df.columns if c != ord_], "parquet", out_dir, prefix, "parquet", shard_size, compression=compression)
+
+
+def read_manifest(spark: SparkSession, out_dir: str) -> dict:
+    """The manifest; an error if there is none, or if a shard that it lists is missing."""
+    folder = Folder(spark, out_dir)
+    if not folder.exists(MANIFEST):
+        raise FileNotFoundError(f"{out_dir} has no {MANIFEST}")
+    manifest = json.loads(folder.read(MANIFEST))
+    for s in manifest["shards"]:
+        if not folder.exists(s["path"]):
+            raise FileNotFoundError(f"{s['path']} is in the manifest but missing")
+    return manifest
+
+
+def read_shards(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(position, value): JSON lines in shard order, by the manifest and not by what files there are. Blank lines are left out."""
+    shards = read_manifest(spark, out_dir)["shards"]
+    if not shards:
+        return spark.createDataFrame([], "position long, value string")
+    starts, at = [], 0
+    for s in shards:
+        starts.append((s["path"], at))
+        at += s["records"]
+    lines = spark.read.text([f"{out_dir.rstrip('/')}/{s['path']}" for s in shards])
+    lines = lines.select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = lines.filter(F.length(F.btrim("value")) > 0)
+    # Rows of a block keep their order within its task; the window covers one shard.
+    nth = F.row_number().over(W.partitionBy("name").orderBy("block", "row")) - 1
+    first = spark.createDataFrame(starts, "name string, start long")
+    return lines.join(first, "name").select((F.col("start") + nth).cast("long").alias("position"), F.btrim("value").alias("value"))

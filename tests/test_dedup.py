@@ -92,9 +92,13 @@ def test_greedy_first_wins(spark, seed):
 
 
 def test_chain_keeps_both_ends(spark):
-    nodes = spark.createDataFrame([(i,) for i in range(4)], "ord long")
-    edges = spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long")
-    assert {r["ord"]: r["kept"] for r in minhash.first_wins(nodes, edges).collect()} == {0: True, 1: False, 2: True, 3: True}
+    """a ~ b ~ c without a ~ c: dropping b leaves c."""
+    w = [f"t{i}" for i in range(400)]
+    a, b, c = (" ".join(w[k : k + 360]) for k in (0, 20, 40))
+    got = {r["ord"]: (r["is_duplicate"], r["matched_ord"]) for r in minhash.near_dedup(docs(spark, [a, b, c, "alone"]), threshold=0.86).collect()}
+    sig = [np.array(r["signature"]) for r in minhash.with_signatures(docs(spark, [a, b, c])).orderBy("ord").collect()]
+    assert (sig[0] == sig[1]).mean() >= 0.86 > (sig[0] == sig[2]).mean() and (sig[1] == sig[2]).mean() >= 0.86
+    assert got == {0: (False, None), 1: (True, 0), 2: (False, None), 3: (False, None)}
 
 
 def test_exact_and_near_streams(spark, tmp_path):
