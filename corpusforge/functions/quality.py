@@ -152,8 +152,10 @@ def select_rules(m: Mapping[str, Column] | Column, script: Column, space_delimit
 def assess(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None, adapt_to_script: bool = True) -> DataFrame:
     """``df`` with ``quality``: passed, failures, rules (array of results), script, script_confidence, space_delimited.
 
-    With rules given, or adapt_to_script off, the script is null.
+    With rules given, or adapt_to_script off, the script is null. A ``quality`` that is
+    there already is replaced.
     """
+    df = df.drop("quality")
     own = df.columns
     x, m = measured(df, text)
     if rules is None and adapt_to_script:
