@@ -42,7 +42,7 @@ def source_targets(sized: DataFrame, budget_share: float = 1.0, repeats: int = M
     is the largest of (budget - what earlier ones can give) / (weights left): it
     rises while sources are used up and falls after.
     """
-    s = sized.groupBy("__src").agg(F.sum("__size").alias("source_size"))
+    s = sized.groupBy("__k", "__src").agg(F.sum("__size").alias("source_size"))
     s = s.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.row_number().over(W.orderBy(F.col("__src").asc_nulls_last())) - 1) % len(WEIGHTS)))
     cap = (F.col("source_size") * repeats).cast("double")
     order = W.orderBy(cap / F.col("weight"), F.col("__src").asc_nulls_last())
@@ -63,20 +63,28 @@ def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_
     carry = docs.columns if carry is None else carry
     own = [F.col(f"`{c}`") for c in carry]
     key = F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed))
+    src = F.col(f"`{source}`")
     sized = materialize(
-        docs.select(*own, F.col(f"`{source}`").alias("__src"), F.col(f"`{doc_id}`").alias("__id"), word_count(F.col(f"`{text}`")).alias("__size"), key.alias("__u"), F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int").alias("__b")),
+        docs.select(
+            *own,
+            src.alias("__src"),
+            F.coalesce(F.concat(F.lit("="), src.cast("string")), F.lit("")).alias("__k"),
+            F.col(f"`{doc_id}`").alias("__id"),
+            word_count(F.col(f"`{text}`")).alias("__size"),
+            key.alias("__u"),
+            F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int").alias("__b"),
+        ),
         "sized",
     )
     targets = source_targets(sized, budget_share, repeats)
     # First level: (source, bucket) sums; at most BUCKETS rows for each source.
-    buckets = sized.groupBy("__src", "__b").agg(F.sum("__size").alias("__n"))
-    ahead = F.coalesce(F.sum("__n").over(W.partitionBy("__src").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = targets.withColumnRenamed("__src", "__src_t")
-    buckets = buckets.withColumn("__ahead", ahead).drop("__n").join(t, F.col("__src").eqNullSafe(F.col("__src_t"))).drop("__src_t")
-    b = buckets.select(F.col("__src").alias("__src_b"), F.col("__b").alias("__b_b"), "__ahead", F.col("source_size").alias("__source_size"), F.col("weight").alias("__weight"), F.col("target").alias("__target"))
-    # Second level: inside a bucket, in shuffled order.
-    inside = W.partitionBy("__src", "__b").orderBy("__u", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
-    x = sized.join(b, F.col("__src").eqNullSafe(F.col("__src_b")) & (F.col("__b") == F.col("__b_b"))).drop("__src_b", "__b_b")
+    buckets = sized.groupBy("__k", "__b").agg(F.sum("__size").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    t = targets.select("__k", F.col("source_size").alias("__source_size"), F.col("weight").alias("__weight"), F.col("target").alias("__target"))
+    buckets = buckets.withColumn("__ahead", ahead).drop("__n").join(t, "__k")
+    # Second level: inside a bucket, in shuffled order. The key is null-free, so the join and the window share one shuffle.
+    inside = W.partitionBy("__k", "__b").orderBy("__u", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    x = sized.join(buckets, ["__k", "__b"])
     x = x.withColumn("__before", F.col("__ahead") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     quota = F.floor("__target").cast("long")
     part = lambda e: F.greatest(F.least(quota - e * F.col("__source_size") - F.col("__before"), F.col("__size")), F.lit(0))
