@@ -38,6 +38,8 @@ LAMBDA, PROBES, BITS, UNIT = 0.3, 4, 10, 1024
 SEGMENT_BITS = 12
 MAX_FILTER_BYTES, VOCAB_SHARD = 256 << 20, 16_000_000
 CHUNK, CACHE = 1_000_000, 400_000
+#: What is collected at once holds about 2 ** PIECE_BITS bytes.
+PIECE_BITS = 22
 END = np.uint64(0x5EED0F7E97000001)
 #: Least count of each level.
 LEVELS = np.unique(np.floor(2.0 ** (np.arange(0, 126) / 2)).astype(np.int64))
@@ -107,7 +109,7 @@ def build_segment(h: np.ndarray, c: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def positions(h: np.ndarray, i: int, size):
-    a = mix(h + np.uint64(i) * np.uint64(0xD6E8FEB86659FD93))
+    a = mix(h + np.uint64(i * 0xD6E8FEB86659FD93 % 2**64))
     step = mix(a) | np.uint64(1)
     for _ in range(PROBES):
         yield a % size
@@ -115,14 +117,17 @@ def positions(h: np.ndarray, i: int, size):
 
 
 class CountFilter:
-    """The whole filter: segments laid end to end."""
+    """The whole filter: segments laid end to end in one array."""
 
-    def __init__(self, segments: dict[int, bytes]):
-        empty = bytes(UNIT // 8)
-        parts = [segments.get(s, empty) for s in range(1 << SEGMENT_BITS)]
-        self.sizes = np.array([8 * len(p) for p in parts], np.uint64)
-        self.offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
-        self.data = np.frombuffer(b"".join(parts), np.uint8)
+    def __init__(self, sizes: np.ndarray):
+        """``sizes``: bytes of each segment; a segment that is absent gets an empty unit."""
+        own = np.where(sizes > 0, sizes, UNIT // 8).astype(np.int64)
+        self.sizes = (8 * own).astype(np.uint64)
+        self.offsets = np.cumsum(own) - own
+        self.data = np.zeros(int(own.sum()), np.uint8)
+
+    def put(self, seg: int, part: np.ndarray) -> None:
+        self.data[self.offsets[seg] : self.offsets[seg] + len(part)] = part
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts: probes go on while they succeed."""
@@ -181,38 +186,43 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return rows.repartition("seg").mapInArrow(build, "seg int, bits binary, words binary, counts binary, tokens long, types long")
 
 
-def _pieces(model: DataFrame, column, parts: int):
-    """Collects a column by ranges of segments: a part at a time passes through the driver's JVM."""
-    step = -(-(1 << SEGMENT_BITS) // parts)
-    for lo in range(0, 1 << SEGMENT_BITS, step):
-        yield model.filter(F.col("seg").between(lo, lo + step - 1)).select("seg", *column).collect()
+def _pieces(model: DataFrame, columns: list[str], lo: int, hi: int, parts: int):
+    """Rows of segments lo to hi by number: a part at a time passes through the driver."""
+    step = -(-(hi - lo) // parts)
+    for a in range(lo, hi, step):
+        rows = model.filter((F.col("seg") >= a) & (F.col("seg") < min(hi, a + step))).select("seg", *columns).collect()
+        yield from sorted(rows, key=lambda r: r[0])
 
 
 def load_filter(model: DataFrame, size: int) -> CountFilter:
     folds = 0
     while size >> folds > MAX_FILTER_BYTES and folds < 7:
         folds += 1
-    segments = {}
-    for rows in _pieces(model, ["bits"], max(1, size >> 23)):
-        for seg, bits in rows:
-            part = np.frombuffer(bytes(bits), np.uint8)
-            for _ in range(folds):
-                part = part[: len(part) // 2] | part[len(part) // 2 :]
-            segments[seg] = part.tobytes()
-    return CountFilter(segments)
-
-
-def vocab_shards(model: DataFrame, types: int):
+    sizes = np.zeros(1 << SEGMENT_BITS, np.int64)
+    for seg, n in model.select("seg", F.length("bits")).collect():
+        sizes[seg] = n >> folds
+    out = CountFilter(sizes)
+    for seg, bits in _pieces(model, ["bits"], 0, 1 << SEGMENT_BITS, max(1, size >> PIECE_BITS)):
+        part = np.frombuffer(bits, np.uint8)
+        for _ in range(folds):
+            part = part[: len(part) // 2] | part[len(part) // 2 :]
+        out.put(seg, part)
+    return out
+
+
+def vocab_shards(model: DataFrame, types: int, tokens: int):
     """(word hashes, counts), sorted, in shards of at most about VOCAB_SHARD words."""
     n = max(1, -(-types // VOCAB_SHARD))
+    kind = np.uint32 if tokens < 1 << 32 else np.int64
     for k in range(n):
         lo, hi = (k << SEGMENT_BITS) // n, ((k + 1) << SEGMENT_BITS) // n
-        rows = []
-        for a in range(lo, hi, 512):
-            rows += model.filter((F.col("seg") >= a) & (F.col("seg") < min(hi, a + 512))).select("seg", "words", "counts").collect()
-        rows.sort(key=lambda r: r[0])
-        join = lambda k, t: np.frombuffer(b"".join(bytes(r[k]) for r in rows), t)
-        yield join(1, np.uint64), np.minimum(join(2, np.int64), 2**32 - 1).astype(np.uint32) if types > VOCAB_SHARD else join(2, np.int64)
+        own = int(model.filter((F.col("seg") >= lo) & (F.col("seg") < hi)).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0])
+        words, counts, at = np.empty(own, np.uint64), np.empty(own, kind), 0
+        for _, w, c in _pieces(model, ["words", "counts"], lo, hi, max(1, 16 * own >> PIECE_BITS)):
+            w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
+            words[at : at + len(w)], counts[at : at + len(w)] = w, c
+            at += len(w)
+        yield words, counts
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,7 +237,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     id_type = slim.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, text string, n_tokens long, n_known long, base double, score double"
     out = slim.select("id", "text", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
-    for k, vocab in enumerate(vocab_shards(model, n_types)):
+    for k, vocab in enumerate(vocab_shards(model, n_types, n_train)):
         words = sc.broadcast(vocab)
 
         def work(batches, words=words, first=k == 0):
