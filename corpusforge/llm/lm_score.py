@@ -8,9 +8,11 @@ the rest the word's smoothed share of the corpus, both read from the filter.
 
 The filter is made of segments by the n-gram's hash, each built by the task that
 counts that segment, with a size by its own number of entries, so the filter grows
-with the corpus. Above ``MAX_FILTER_BYTES`` in all, segments are folded in halves:
-more false positives, but no n-gram is dropped. The exact word counts behind
-``base_score`` go to the executors in shards of at most ``VOCAB_SHARD`` words.
+with the corpus and keeps ``BITS`` bits an entry at every size. Up to
+``MAX_FILTER_BYTES`` in all it goes to the executors whole, and the exact word counts
+behind ``base_score`` in shards of at most ``VOCAB_SHARD`` words. Above, nothing is
+sent round: the distinct n-grams of each chunk of texts go to the tasks that hold
+their segments, and the counts return to the chunk. Both ways read the same counts.
 
 Texts are counted in chunks before the shuffle, so a frequent pair is one row for
 each chunk. Words are hashed to 64 bits throughout.
@@ -28,8 +30,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusforge.session import materialize
 
@@ -116,6 +120,23 @@ def positions(h: np.ndarray, i: int, size):
         a = a + step
 
 
+def probe(data: np.ndarray, offset, size, h: np.ndarray) -> np.ndarray:
+    """Levels of the n-grams ``h``: probes go on while they succeed. ``offset``, ``size``: of each one's segment, or one for all."""
+    offset, size = np.broadcast_to(np.asarray(offset, np.int64), len(h)), np.broadcast_to(size, len(h))
+    level = np.zeros(len(h), np.int64)
+    alive = np.arange(len(h))
+    i = 1
+    while len(alive) and i < len(MIDDLE):
+        own, start = size[alive], offset[alive]
+        hit = np.ones(len(alive), bool)
+        for at in positions(h[alive], i, own):
+            hit &= (data[start + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        level[alive] = i
+        i += 1
+    return level
+
+
 class CountFilter:
     """The whole filter: segments laid end to end in one array."""
 
@@ -130,20 +151,9 @@ class CountFilter:
         self.data[self.offsets[seg] : self.offsets[seg] + len(part)] = part
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts: probes go on while they succeed."""
+        """Quantised counts."""
         seg = (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
-        level = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
-        i = 1
-        while len(alive):
-            size, offset = self.sizes[seg[alive]], self.offsets[seg[alive]]
-            hit = np.ones(len(alive), bool)
-            for at in positions(h[alive], i, size):
-                hit &= (self.data[offset + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            level[alive] = i
-            i += 1
-        return MIDDLE[level]
+        return MIDDLE[probe(self.data, self.offsets[seg], self.sizes[seg], h)]
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
@@ -195,18 +205,12 @@ def _pieces(model: DataFrame, columns: list[str], lo: int, hi: int, parts: int):
 
 
 def load_filter(model: DataFrame, size: int) -> CountFilter:
-    folds = 0
-    while size >> folds > MAX_FILTER_BYTES and folds < 7:
-        folds += 1
     sizes = np.zeros(1 << SEGMENT_BITS, np.int64)
     for seg, n in model.select("seg", F.length("bits")).collect():
-        sizes[seg] = n >> folds
+        sizes[seg] = n
     out = CountFilter(sizes)
     for seg, bits in _pieces(model, ["bits"], 0, 1 << SEGMENT_BITS, max(1, size >> PIECE_BITS)):
-        part = np.frombuffer(bits, np.uint8)
-        for _ in range(folds):
-            part = part[: len(part) // 2] | part[len(part) // 2 :]
-        out.put(seg, part)
+        out.put(seg, np.frombuffer(bits, np.uint8))
     return out
 
 
@@ -225,6 +229,105 @@ def vocab_shards(model: DataFrame, types: int, tokens: int):
         yield words, counts
 
 
+def token_scores(own: np.ndarray, together: np.ndarray, lengths: np.ndarray, whole: float) -> np.ndarray:
+    """Score of each text, from the filter's counts of its tokens and of their pairs. A text's last token is END."""
+    starts = np.cumsum(lengths) - lengths
+    before = np.empty(len(own))
+    before[1:] = own[:-1]
+    before[starts] = own[starts + lengths - 1]
+    share = np.minimum(1.0, together / np.maximum(before, 1.0))
+    single = (own + 0.1) / whole
+    p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * single, single)
+    return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
+
+
+def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str) -> DataFrame:
+    """Texts scored by joining the n-grams of their chunks with the segments of the model.
+
+    A chunk's n-grams are sorted by hash, so those of a segment are a slice, and the
+    slices' counts laid end to end in the order of the segments are the chunk's.
+    """
+    id_type, ids_type = slim.schema["id"].dataType.simpleString(), to_arrow_type(slim.schema["id"].dataType)
+    top = np.uint64(64 - SEGMENT_BITS)
+    fields = ["key", "kind", "seg", "h", "id", "word", "pair"]
+
+    def ask(batches):
+        part = TaskContext.get().partitionId()
+        for n, (ids, tokens, lengths) in enumerate(chunks(batches)):
+            key = part << 32 | n
+            index = []
+            for kind, h in enumerate((tokens, pairs(tokens, lengths)[1])):
+                u, inv = np.unique(h, return_inverse=True)
+                index.append(inv.astype(np.int32))
+                seg = (u >> top).astype(np.int32)
+                at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+                k, none = len(at), pa.nulls(len(at), pa.binary())
+                h_of = pa.array([u[x:y].tobytes() for x, y in zip(at, [*at[1:], len(u)])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(np.full(k, kind, np.int32)), pa.array(seg[at]), h_of, pa.nulls(k, ids_type), none, none], fields)
+            ends = np.cumsum(lengths)
+            for x in range(0, len(ids), 256):
+                y = min(x + 256, len(ids))
+                cut = [pa.array([i[e - m : e].tobytes() for e, m in zip(ends[x:y], lengths[x:y])], pa.binary()) for i in index]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(y - x, key)), pa.array(np.full(y - x, 2, np.int32)), pa.array(np.arange(x, y, dtype=np.int32)), pa.nulls(y - x, pa.binary()), pa.array(ids[x:y], ids_type), *cut], fields)
+
+    def answer(batches):
+        now, grams = None, None
+        for b in batches:
+            keys, kinds, levels, exact = [], [], [], []
+            for key, kind, seg, h, words, counts in zip(*(b.column(k) for k in range(6))):
+                seg, h = seg.as_py(), np.frombuffer(h.as_py(), np.uint64 if kind.as_py() >= 0 else np.uint8)
+                if kind.as_py() < 0:
+                    now, grams = seg, h
+                    size = np.uint64(8 * len(grams))
+                    known, known_c = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+                    continue
+                level, c = np.zeros(len(h), np.uint8), np.zeros(len(h) if kind.as_py() == 0 else 0, np.int64)
+                if seg == now:
+                    level = probe(grams, np.uint64(0), size, h).astype(np.uint8)
+                    if len(c) and len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        c = np.where(known[at] == h, known_c[at], 0)
+                keys.append((key.as_py(), kind.as_py(), seg)), levels.append(level.tobytes()), exact.append(c.tobytes())
+            if keys:
+                k, kind, seg = zip(*keys)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(kind, pa.int32()), pa.array(seg, pa.int32()), pa.array(levels, pa.binary()), pa.array(exact, pa.binary())], ["key", "kind", "seg", "level", "exact"])
+
+    def settle(batches):
+        now, held, found = None, None, None
+        for b in batches:
+            ids, rows = [], []
+            for key, kind, level, exact, i, word, pair in zip(*(b.column(k) for k in (0, 1, 3, 4, 5, 6, 7))):
+                key, kind = key.as_py(), kind.as_py()
+                if key != now:
+                    now, held, found = key, ([], [], []), None
+                if kind < 2:
+                    held[kind].append(level.as_py())
+                    if kind == 0:
+                        held[2].append(exact.as_py())
+                    continue
+                if found is None:
+                    w, p, c = (b"".join(x) for x in held)
+                    found = MIDDLE[np.frombuffer(w, np.uint8)], MIDDLE[np.frombuffer(p, np.uint8)], np.frombuffer(c, np.int64)
+                    held = None
+                word, pair = (np.frombuffer(x.as_py(), np.int32) for x in (word, pair))
+                c, n = found[2][word], np.array([len(word)])
+                base = float(np.sum(np.log10(c + 0.1) - np.log10(0.1)) + len(word) * np.log10(0.1 / whole))
+                ids.append(i.as_py()), rows.append((len(word), int((c > 0).sum()), base, float(token_scores(found[0][word], found[1][pair], n, whole)[0])))
+            if ids:
+                n, known, base, score = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.nulls(len(ids), pa.string()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["id", "text", "n_tokens", "n_known", "base", "score"])
+
+    # Written once: keys and slices are those of one run of each task.
+    asked = materialize(slim.mapInArrow(ask, f"key long, kind int, seg int, h binary, id {id_type}, word binary, pair binary"), "asked")
+    held = model.select(F.lit(None).cast("long").alias("key"), F.lit(-1).alias("kind"), "seg", F.col("bits").alias("h"), "words", "counts")
+    grams = asked.filter("kind < 2").select("key", "kind", "seg", "h", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
+    said = held.unionByName(grams).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(answer, "key long, kind int, seg int, level binary, exact binary")
+    none = F.lit(None).cast("binary")
+    said = said.select("*", F.lit(None).cast(id_type).alias("id"), none.alias("word"), none.alias("pair"))
+    texts = asked.filter("kind = 2").select("key", "kind", "seg", none.alias("level"), none.alias("exact"), "id", "word", "pair")
+    return said.unionByName(texts).repartition("key").sortWithinPartitions("key", "kind", "seg").mapInArrow(settle, schema)
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -232,10 +335,17 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sums = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
     n_train, n_types, size = (int(x) for x in sums)
     whole = n_train + 0.1 * (n_types + 1)
-    sc = docs.sparkSession.sparkContext
-    grams = sc.broadcast(load_filter(model, size))
     id_type = slim.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, text string, n_tokens long, n_known long, base double, score double"
+    out = _by_segment(slim, model, whole, schema) if size > MAX_FILTER_BYTES else _by_broadcast(slim, model, size, n_types, n_train, whole, schema)
+    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)) == HELD, F.lit(False))
+    return out.select(F.col("id").alias(doc_id), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
+
+def _by_broadcast(slim: DataFrame, model: DataFrame, size: int, n_types: int, n_train: int, whole: float, schema: str) -> DataFrame:
+    """Texts scored against the whole filter, and shards of the vocabulary, on each executor."""
+    sc = slim.sparkSession.sparkContext
+    grams = sc.broadcast(load_filter(model, size))
     out = slim.select("id", "text", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
     for k, vocab in enumerate(vocab_shards(model, n_types, n_train)):
         words = sc.broadcast(vocab)
@@ -255,17 +365,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     base = per((np.log10(c + 0.1) - np.log10(0.1))[inv], starts)
                     if first:
                         base = base + lengths * np.log10(0.1 / whole)
-                        model_c = grams.value.counts(u)
-                        history, pair = pairs(tokens, lengths)
+                        _, pair = pairs(tokens, lengths)
                         up, pinv = np.unique(pair, return_inverse=True)
-                        together = grams.value.counts(up)[pinv]
-                        before = np.empty(len(tokens))
-                        before[1:] = model_c[inv][:-1]
-                        before[starts] = grams.value.counts(np.array([END]))[0]
-                        share = np.minimum(1.0, together / np.maximum(before, 1.0))
-                        single = (model_c[inv] + 0.1) / whole
-                        p = np.where(before > 0, LAMBDA * share + (1 - LAMBDA) * single, single)
-                        score = per(np.log10(np.minimum(p, 1.0)), starts)
+                        score = token_scores(grams.value.counts(u)[inv], grams.value.counts(up)[pinv], lengths, whole)
                     else:
                         score = np.zeros(len(lengths))
                     done.append((lengths, per(found[inv].astype(np.int64), starts), base, score))
@@ -275,8 +377,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(old[1] + known), pa.array(old[2] + base), pa.array(old[3] + score)], b.schema.names)
 
         out = out.mapInArrow(work, schema)
-    held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)) == HELD, F.lit(False))
-    return out.select(F.col("id").alias(doc_id), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return out
 
 
 def op2_lm_score(spark, sf_dir):

@@ -113,6 +113,20 @@ def test_op2_counts_and_scores(spark, hard, hard_rows):
     assert np.mean([r["score"] / r["n_tokens"] for r in held]) > np.mean([r["base_score"] / r["n_tokens"] for r in held])
 
 
+def test_op2_scores_do_not_depend_on_the_filter_limit(spark, hard, monkeypatch):
+    """A filter beyond the limit is joined by segment; scores and counts are those of the broadcast filter."""
+    from corpusforge.llm import lm_score
+
+    fields = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = lambda: sorted((r["doc_id"], *(r[f] for f in fields)) for r in run(spark, "op2_lm_score", hard))
+    want = rows()
+    monkeypatch.setattr(lm_score, "MAX_FILTER_BYTES", 1 << 12)
+    got = rows()
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
+
+
 # 3 ------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
