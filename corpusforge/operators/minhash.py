@@ -129,21 +129,23 @@ def _verified(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFram
     return x.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("sim")).filter(F.col("sim") >= threshold)
 
 
-def first_wins(signed: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def first_wins(signed: DataFrame, buckets: DataFrame, threshold: float = THRESHOLD, verify=None) -> DataFrame:
     """Ordinals that go when ``signed`` (ord, signature) is gone through in order, dropping whoever has an earlier kept neighbour.
 
     A round keeps each undecided document that is the first one left in all its
     buckets, and compares it with the others there. So a bucket makes a row for each
     member and kept document and never the pairs among its members, and a group of
     near copies is settled as soon as its first is. The first undecided document of
-    all is kept in every round, which is written to the shared folder.
+    all is kept in every round, which is written to the shared folder. ``verify``
+    takes pairs (a, b) and returns the near ones, by signature if it is not given.
     """
+    verify = verify or (lambda pairs: _verified(pairs, signed, threshold))
     open_, gone = buckets, None
     while open_.limit(1).count():
         x = open_.join(open_.groupBy("bucket").agg(F.min("ord").alias("lead")), "bucket")
         kept = materialize(x.groupBy("ord").agg(F.max(F.col("lead") < F.col("ord")).alias("blocked")).filter("NOT blocked").select("ord"), "kept")
         star = x.filter("lead < ord").join(kept.select(F.col("ord").alias("lead")), "lead", "left_semi")
-        hit = _verified(star.select(F.col("lead").alias("a"), F.col("ord").alias("b")), signed, threshold)
+        hit = verify(star.select(F.col("lead").alias("a"), F.col("ord").alias("b")))
         hit = materialize(hit.select(F.col("b").alias("ord")).distinct(), "dropped")
         gone = hit if gone is None else gone.unionByName(hit)
         open_ = materialize(open_.join(kept.unionByName(hit), "ord", "left_anti"), "undecided")

@@ -224,6 +224,39 @@ def test_pipeline_stages_take_effect(spark, hard, hard_rows):
     assert ids["mixing"]
 
 
+def test_near_dedup_drops_near_copies_and_only_those(spark):
+    """Copies with changed words are dropped where their exact 5-word Jaccard is 0.8 at least, and no others."""
+    from corpusforge.llm.simhash import stage_near_dedup
+
+    r = random.Random(11)
+    prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    rows, near = [], 0
+    for i in range(60):
+        a = prose(200)
+        b = list(a)
+        for k in range(1 + i % 6):
+            b[20 + 30 * k] = f"new{i}x{k}"
+        a, b = " ".join(a), " ".join(b)
+        x, y = grams(a), grams(b)
+        near += len(x & y) >= 0.8 * len(x | y)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(4)
+    kept = Counter((x["doc_id"], x["text"]) for x in stage_near_dedup(spark, docs, "").collect())
+    want = Counter()
+    for i, t in rows:
+        if not i % 2:
+            want[i, t] += 1
+        else:
+            x, y = grams(rows[i - 1][1]), grams(t)
+            want[i, t] += len(x & y) < 0.8 * len(x | y)
+    assert near >= 20 and kept == +want
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_take_empty_and_clashing(spark, empty, hard, stage):
     name, f = stage
