@@ -257,6 +257,16 @@ def test_near_dedup_drops_near_copies_and_only_those(spark):
     assert near >= 20 and kept == +want
 
 
+def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
+    from corpusforge.llm.simhash import stage_near_dedup
+
+    r = random.Random(12)
+    prose = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(50))
+    rows = [(None, prose()) for _ in range(4)] + [(7, prose()) for _ in range(3)] + [(8, prose())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows + [rows[0], rows[4], (9, rows[7][1])]], DOC).repartition(4)
+    assert Counter((x["doc_id"], x["text"]) for x in stage_near_dedup(spark, docs, "").collect()) == Counter(rows)
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_take_empty_and_clashing(spark, empty, hard, stage):
     name, f = stage
