@@ -29,12 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.llm.graph import components
-from corpusforge.operators.minhash import first_wins
 from corpusforge.session import materialize
 
 SHINGLE, SEED, RADIUS, GROUPS, AGREE = 4, 42, 4, 7, 3
-#: The pipeline's stage: words of a shingle, least similarity, bands of its MinHash and rows of a band.
-STAGE_SHINGLE, STAGE_SIMILARITY, BANDS, ROWS = 5, 0.8, 28, 6
 LOW = 0x5555555555555555
 #: Cells up to this size are compared pair by pair at once.
 SMALL_CELL = 24
@@ -153,6 +150,25 @@ def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
+def whole_cells(batches):
+    """The columns, as arrays, of batches that are sorted by their first column, cut only where that changes."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+        key = cols[0]
+        if not len(key):
+            continue
+        cut = np.searchsorted(key, key[-1]) if key[0] != key[-1] else 0
+        if parts and (cut or parts[-1][0][-1] != key[0]):
+            yield [np.concatenate(x) for x in zip(*parts, [c[:cut] for c in cols])]
+            parts = []
+        elif cut:
+            yield [c[:cut] for c in cols]
+        parts.append([c[cut:] for c in cols])
+    if parts:
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
 def link_edges(distinct: DataFrame) -> DataFrame:
     """(a, b): spanning links of the distinct fingerprints in column ``fp``."""
 
@@ -165,25 +181,9 @@ def link_edges(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part, keys.shape[1]).view(np.int64))], ["key", "fp"])
 
     def join(batches):
-        left_k, left_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out(k, f):
+        for k, f in whole_cells(batches):
             a, b = _links(k, f.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], ["a", "b"])
-
-        parts_k, parts_f = [], []
-        for batch in batches:
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            cut = np.searchsorted(k, k[-1]) if k[0] != k[-1] else 0
-            if cut or (parts_k and parts_k[-1][-1] != k[0]):
-                whole_k, whole_f = [*parts_k, k[:cut]], [*parts_f, f[:cut]]
-                yield out(np.concatenate(whole_k), np.concatenate(whole_f))
-                parts_k, parts_f = [], []
-            parts_k.append(k[cut:]), parts_f.append(f[cut:])
-        if parts_k:
-            yield out(np.concatenate(parts_k), np.concatenate(parts_f))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], ["a", "b"])
 
     keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
@@ -208,83 +208,3 @@ def op9_simhash(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = near_duplicates(docs)
     return out.select("doc_id", hex64(F.col("__fp")).alias("fingerprint"), F.col("__component").alias("component_id"))
-
-
-def shingle_set(text: str | None, n: int = STAGE_SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of ``text``, A-Z lower-cased; one of all words where there are fewer."""
-    words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
-
-
-def band_hashes(own: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """MinHash of a shingle set, a key for each band."""
-    least = np.full(len(salts), np.uint64(2**64 - 1))
-    for k in range(0, len(own), 1024):
-        least = np.minimum(least, ((own[k : k + 1024, None] ^ salts) * (salts | np.uint64(1))).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(bytes([k]) + m.tobytes()) for k, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-
-
-def stage_signatures(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, row, th, node, keys): text hash, hash of the shingle set and band keys of each row."""
-    slim = rows.select(F.col(f"`{doc_id}`").alias("id"), "__row", F.col(f"`{text}`").alias("text"))
-    salts = np.random.default_rng(SEED).integers(0, 2**64, BANDS * ROWS, np.uint64)
-
-    def work(batches):
-        for b in batches:
-            th, node, keys = [], [], []
-            for t in b.column(2):
-                t = t.as_py()
-                own = shingle_set(t)
-                th.append(xxhash.xxh64_intdigest(t or "", SEED)), node.append(xxhash.xxh128_digest(own.tobytes())), keys.append(band_hashes(own, salts))
-            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(th) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(th, np.uint64).view(np.int64)), pa.array(node, pa.binary()), keys], ["id", "row", "th", "node", "keys"])
-
-    return slim.mapInArrow(work, f"id {slim.schema['id'].dataType.simpleString()}, row long, th long, node binary, keys array<long>")
-
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) whose shingle ``sets`` (ord, own) have a Jaccard similarity of ``STAGE_SIMILARITY`` at least."""
-
-    def work(batches):
-        for b in batches:
-            near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= STAGE_SIMILARITY * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    of = lambda c: sets.select(F.col("ord").alias(c), F.col("own").alias(f"own_{c}"))
-    return pairs.distinct().join(of("b"), "b").join(of("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a long, b long")
-
-
-def stage_near_dedup(spark, docs, sf_dir, doc_id: str = "doc_id", text: str = "text"):
-    """``docs`` without near copies: rows are gone through by doc_id (null last) and text hash, and a row goes if one
-    that stays before it has a Jaccard similarity of ``STAGE_SIMILARITY`` at least over 5-word shingles.
-
-    Candidates share a band of their MinHash, which misses a pair at the threshold with
-    probability 0.0002; each is verified on the whole shingle sets. Rows have a key of
-    their own, so null or repeated ids cost no row that is not a near copy. All columns of ``docs``.
-    """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    signed = materialize(stage_signatures(rows, doc_id, text), "signed")
-    order = [F.col("id").isNull(), "id", "th", "row"]
-    ranked = signed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
-    ranked = materialize(ranked.drop("id", "th"), "ranked")
-    # Rows with one shingle set are one node, its first.
-    firsts = materialize(ranked.join(ranked.groupBy("node").agg(F.min("ord").alias("ord")), ["node", "ord"], "left_semi"), "firsts")
-    keys = materialize(firsts.select("ord", "row", F.explode("keys").alias("bucket")), "keys")
-    many = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    buckets = materialize(keys.join(many, "bucket", "left_semi"), "buckets")
-
-    def own(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["ord", "own"])
-
-    met = buckets.select("ord", F.col("row").alias("__row")).distinct()
-    sets = materialize(rows.select("__row", F.col(f"`{text}`").alias("text")).join(met, "__row").select("ord", "text").mapInArrow(own, "ord long, own binary"), "sets")
-    gone = first_wins(firsts, buckets.select("bucket", "ord"), verify=lambda pairs: similar(pairs, sets))
-    stay = materialize(firsts.select("ord", F.col("row").alias("__row")).join(gone, "ord", "left_anti").select("__row"), "stay")
-    return rows.join(stay, "__row", "left_semi").drop("__row")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from test_contracts import plain_fingerprint, run, words
+from test_contracts import run, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -186,6 +186,27 @@ def test_op10_query_equals_sql(spark, hard, hard_rows):
 # Pipeline -----------------------------------------------------------------------
 
 
+def grams(t):
+    w = low(t)
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def near_survivors(rows):
+    """Smallest id of each set of texts that are linked by a Jaccard similarity of 0.8 over 5-word shingles."""
+    rows = sorted(rows)
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if min(len(x), len(sets[j])) >= 0.8 * max(len(x), len(sets[j])) and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    first = {}
+    for (i, _), r in zip(rows, root):
+        first.setdefault(r, i)
+    return set(first.values())
+
+
 def test_pipeline_stages_take_effect(spark, hard, hard_rows):
     """Planted cases among the documents: each stage drops its own and keeps the clean ones."""
     r = random.Random(4)
@@ -210,11 +231,7 @@ def test_pipeline_stages_take_effect(spark, hard, hard_rows):
         assert {x["doc_id"] for x in got} <= {x["doc_id"] for x in docs.collect()}
         ids[name], texts[name] = {x["doc_id"] for x in got}, {x["doc_id"]: x["text"] for x in got}
         if name == "near_dedup":
-            before = {x["doc_id"]: plain_fingerprint(x["text"]) for x in docs.collect()}
-            kept = sorted(ids[name])
-            for a in before:
-                assert a in ids[name] or any((before[a] ^ before[b]).bit_count() <= 4 for b in before if b != a)
-            assert all((before[a] ^ before[b]).bit_count() > 4 for k, a in enumerate(kept) for b in kept[k + 1 :])
+            assert ids[name] == near_survivors([(x["doc_id"], x["text"]) for x in docs.collect()])
         docs = out
     assert not ids["quality_rules"] & junk.keys()
     assert footed.keys() <= ids["line_dedup"] and sum(footer in texts["line_dedup"][i] for i in footed) == 1
@@ -225,18 +242,17 @@ def test_pipeline_stages_take_effect(spark, hard, hard_rows):
 
 
 def test_near_dedup_drops_near_copies_and_only_those(spark):
-    """Copies with changed words are dropped where their exact 5-word Jaccard is 0.8 at least, and no others."""
-    from corpusforge.llm.simhash import stage_near_dedup
+    """Copies with changed words are dropped where their exact 5-word Jaccard is 0.8 at least, and no others.
+
+    The grids find a pair at the threshold with probability RECALL; what is dropped is verified, so nothing else goes.
+    """
+    from corpusforge.llm.near_text import stage_near_dedup
 
     r = random.Random(11)
     prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
 
-    def grams(t):
-        w = t.split()
-        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-
     rows, near = [], 0
-    for i in range(60):
+    for i in range(300):
         a = prose(200)
         b = list(a)
         for k in range(1 + i % 6):
@@ -254,11 +270,32 @@ def test_near_dedup_drops_near_copies_and_only_those(spark):
         else:
             x, y = grams(rows[i - 1][1]), grams(t)
             want[i, t] += len(x & y) < 0.8 * len(x | y)
-    assert near >= 20 and kept == +want
+    want, extra = +want, kept - +want
+    assert near >= 150 and not want - kept and extra.total() <= 0.04 * near, (near, extra.total())
+
+
+def test_near_dedup_joins_a_large_group_of_near_copies(spark, monkeypatch):
+    """Hundreds of edited copies of one text, in dense cells, narrow and wide: groups are those of brute force."""
+    from corpusforge.llm import near_text
+
+    r = random.Random(13)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randrange(0, 8)):
+            w[r.randrange(120)] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(4)
+    want = near_survivors(rows)
+    for wide in (near_text.WIDE, 40):
+        monkeypatch.setattr(near_text, "WIDE", wide)
+        got = {x["doc_id"] for x in near_text.stage_near_dedup(spark, docs, "").collect()}
+        assert want <= got and len(got - want) <= 0.05 * len(rows), (len(want), len(got))
 
 
 def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
-    from corpusforge.llm.simhash import stage_near_dedup
+    from corpusforge.llm.near_text import stage_near_dedup
 
     r = random.Random(12)
     prose = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(50))
