@@ -1,9 +1,14 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Every rule's cutoff comes from a KLL sketch of the metric, one sketch for each
-(language, source). Sketches merge, so a group with too few documents falls back
-to its language's merged sketch, and then to the merged sketch of the corpus.
-The cutoff table is joined back to the documents, which it filters.
+Every cutoff is read from a KLL sketch of the metric, one sketch for each (language,
+source), over the documents that pass the base rules. Sketches merge, so a group with
+too few documents falls back to its language's merged sketch, and then to the merged
+sketch of the corpus. The cutoff table is joined back to the documents, which it filters.
+
+A metric that spreads on both sides has outer fences, ``FENCE`` interquartile ranges
+beyond the quartiles. A metric that is zero for most documents has a high quantile of
+its group as its cutoff, but no less than what all but a tenth of the documents of the
+corpus have that have any, so that in a group without any the first is no outlier.
 
 Only DataFrame functions are used; one pass over the texts measures, and what it
 measured is kept in the shared folder, since the sketches and the filter read it.
@@ -24,16 +29,18 @@ from corpusforge.session import materialize
 SPACE = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Sketch accuracy, least documents for a sketch of one's own, fence width in interquartile ranges.
-SKETCH_K, MIN_GROUP, FENCE = 800, 200, 3.0
-#: metric -> (numerator, denominator, least width of the fence above, or below where the rule has a floor)
+#: Sketch accuracy, least documents for a sketch of one's own, fences in interquartile ranges.
+SKETCH_K, MIN_GROUP, FENCE = 800, 100, 3.0
+#: metric -> (numerator, denominator, quantile that is the cutoff; None for fences on both sides)
 RULES = {
-    "mean_word_chars": ("word_chars", "n_words", 3.0, 1.5),
-    "symbols_per_word": ("n_symbols", "n_words", 0.15, None),
-    "dup_line_share": ("n_dup_lines", "n_lines", 0.60, None),
-    "repeat_word_share": ("n_repeat_words", "n_words", 0.25, None),
-    "bangs_per_word": ("n_bangs", "n_words", 0.30, None),
+    "mean_word_chars": ("word_chars", "n_words", None),
+    "symbols_per_word": ("n_symbols", "n_words", 0.95),
+    "dup_line_share": ("n_dup_lines", "n_lines", 0.995),
+    "repeat_word_share": ("n_repeat_words", "n_words", 0.995),
+    "bangs_per_word": ("n_bangs", "n_words", 0.995),
 }
+#: Quantile of the corpus's values above zero below which no cutoff of the other metrics lies.
+LEAST = 0.1
 
 
 def count_chars(text: Column, chars: str) -> Column:
@@ -109,27 +116,34 @@ def _ratio(num: str, den: str, prefix: str) -> Column:
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "__cf_") -> DataFrame:
-    """One row for each (language, source): the fences of every rule.
+    """One row for each (language, source): ``<metric>_max``, and ``<metric>_min`` where there are fences.
 
-    Fence: third quartile plus the larger of FENCE interquartile ranges and the
-    rule's least width (below: first quartile less so much). Quartiles are of the
-    documents that pass the base rules.
+    A cutoff is null, and rejects nothing, if no document of the corpus has any of the metric.
     """
-    sketches = [F.kll_sketch_agg_double(_ratio(num, den, prefix), SKETCH_K).alias(m) for m, (num, den, _, _) in RULES.items()]
+    quantile = lambda sketch, q: F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+    ratio = {m: _ratio(num, den, prefix) for m, (num, den, _) in RULES.items()}
+    sparse = [m for m, (*_, q) in RULES.items() if q is not None]
+    sketch = lambda c: F.kll_sketch_agg_double(c, SKETCH_K)
+    merge = lambda m: F.kll_merge_agg_double(m)
     keys = [F.col(f"`{lang}`").alias("__l"), F.col(f"`{source}`").alias("__s")]
-    by_both = measured.filter(~base_failed(prefix)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sketches)
-    merge = [F.kll_merge_agg_double(m).alias(f"{m}") for m in RULES]
+    some = [F.when(ratio[m] > 0, ratio[m]) for m in sparse]
+    by_both = measured.filter(~base_failed(prefix)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[sketch(x).alias(m) for m, x in ratio.items()], *[sketch(x).alias(f"{m}_some") for m, x in zip(sparse, some)], *[F.count(x).alias(f"{m}_k") for m, x in zip(sparse, some)]
+    )
     by_both = materialize(by_both, "sketches")
-    by_lang = by_both.groupBy("__l").agg(F.sum("n").alias("n_l"), *[x.alias(f"{m}_l") for m, x in zip(RULES, merge)])
-    of_all = by_both.agg(F.sum("n").alias("n_a"), *[x.alias(f"{m}_a") for m, x in zip(RULES, merge)])
+    by_lang = by_both.groupBy("__l").agg(F.sum("n").alias("n_l"), *[merge(m).alias(f"{m}_l") for m in RULES])
+    of_all = by_both.agg(*[merge(m).alias(f"{m}_a") for m in RULES], *[merge(F.when(F.col(f"{m}_k") > 0, F.col(f"{m}_some"))).alias(f"{m}_some_a") for m in sparse], *[F.sum(f"{m}_k").alias(f"{m}_k_a") for m in sparse])
+    of_all = of_all.select(*[f"{m}_a" for m in RULES], *[F.when(F.col(f"{m}_k_a") > 0, quantile(F.col(f"{m}_some_a"), LEAST)).alias(f"{m}_least") for m in sparse])
     joined = by_both.join(by_lang.withColumnRenamed("__l", "__l2"), F.col("__l").eqNullSafe(F.col("__l2"))).join(F.broadcast(of_all))
     cols = []
-    for m, (_, _, above, below) in RULES.items():
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(m)).when(F.col("n_l") >= MIN_GROUP, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        cols.append((q3 + F.greatest(FENCE * (q3 - q1), F.lit(above))).alias(f"{m}_max"))
-        if below is not None:
-            cols.append((q1 - F.greatest(FENCE * (q3 - q1), F.lit(below))).alias(f"{m}_min"))
+    for m, (_, _, q) in RULES.items():
+        own = F.when(F.col("n") >= MIN_GROUP, F.col(m)).when(F.col("n_l") >= MIN_GROUP, F.col(f"{m}_l")).otherwise(F.col(f"{m}_a"))
+        if q is None:
+            q1, q3 = quantile(own, 0.25), quantile(own, 0.75)
+            cols += [(q3 + FENCE * (q3 - q1)).alias(f"{m}_max"), (q1 - FENCE * (q3 - q1)).alias(f"{m}_min")]
+        else:
+            least = F.col(f"{m}_least")
+            cols.append(F.when(least.isNotNull(), F.greatest(quantile(own, q), least)).alias(f"{m}_max"))
     return joined.select("__l", "__s", F.col("n").alias("__n_group"), *cols)
 
 
@@ -148,9 +162,9 @@ def apply_quality(docs: DataFrame, carry: list[str] | None = None, text: str = "
     cut = cut.select(F.struct(*[c for c in cut.columns if c not in ("__l", "__s")]).alias("__cf_cut"), "__l", "__s")
     joined = measured.join(cut, F.col(lang).eqNullSafe(F.col("__l")) & F.col(source).eqNullSafe(F.col("__s")), "left")
     kept = F.expr("true")
-    for m, (num, den, _, below) in RULES.items():
+    for m, (num, den, q) in RULES.items():
         kept = kept & F.coalesce(_ratio(num, den, "__cf_") <= F.col(f"__cf_cut.{m}_max"), F.lit(True))
-        if below is not None:
+        if q is None:
             kept = kept & F.coalesce(_ratio(num, den, "__cf_") >= F.col(f"__cf_cut.{m}_min"), F.lit(True))
     return joined.withColumn("__cf_base_failed", base_failed()).withColumn("__cf_kept", ~base_failed() & kept).drop("__l", "__s", "__cf_cut")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -189,7 +190,7 @@ def measured(t):
 
 
 def test_op5_base_and_adaptive_verdict(spark, hard, hard_rows):
-    from corpusforge.llm.quality_rules import FENCE, MIN_GROUP, RULES
+    from corpusforge.llm.quality_rules import FENCE, LEAST, MIN_GROUP, RULES
 
     got = by_id(run(spark, "op5_quality_rules", hard))
     assert sum(map(len, got.values())) == len(hard_rows)
@@ -202,26 +203,52 @@ def test_op5_base_and_adaptive_verdict(spark, hard, hard_rows):
             assert r["base_failed"] == failed and not (r["kept"] and failed)
         m |= {"n_bangs": (d["text"] or "").count("!"), "n_lines": sum(bool(WORD.search(x)) for x in (d["text"] or "").split("\n"))}
         all_.append((d, m, failed))
-    # Groups here are smaller than MIN_GROUP, so all but the merged sketches are unused: exact quartiles say the same, but at a fence.
+    # Sketches of so few values are exact, so exact quantiles say the same, but at a cutoff.
     ratio = lambda m, name: m[RULES[name][0]] / max(1, m[RULES[name][1]])
+    good = [(d["lang"], d["source"], m) for d, m, f in all_ if not f]
+    rejected = 0
     for d, m, failed in all_:
         if failed:
             continue
-        peers = [x for e, x, f in all_ if not f and e["lang"] == d["lang"]]
+        peers = [x for a, b, x in good if (a, b) == (d["lang"], d["source"])]
         if len(peers) < MIN_GROUP:
-            peers = [x for _, x, f in all_ if not f]
+            peers = [x for a, _, x in good if a == d["lang"]]
+        if len(peers) < MIN_GROUP:
+            peers = [x for *_, x in good]
         kept, sure = True, True
-        for name, (_, _, above, below) in RULES.items():
-            q1, q3 = np.quantile([ratio(x, name) for x in peers], [0.25, 0.75])
-            high = q3 + max(FENCE * (q3 - q1), above)
-            kept &= ratio(m, name) <= high
-            sure &= abs(ratio(m, name) - high) > 0.05 * high
-            if below is not None:
-                low = q1 - max(FENCE * (q3 - q1), below)
-                kept &= ratio(m, name) >= low
-                sure &= abs(ratio(m, name) - low) > 0.05 * abs(low)
+        for name, (_, _, q) in RULES.items():
+            at = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs)) - 1)]
+            own, some = [ratio(x, name) for x in peers], [y for *_, x in good if (y := ratio(x, name)) > 0]
+            if q is None:
+                q1, q3 = at(own, 0.25), at(own, 0.75)
+                cuts = [(1, q3 + FENCE * (q3 - q1)), (-1, q1 - FENCE * (q3 - q1))]
+            else:
+                cuts = [(1, max(at(own, q), at(some, LEAST)))] if some else []
+            for sign, cut in cuts:
+                kept &= sign * ratio(m, name) <= sign * cut
+                sure &= abs(ratio(m, name) - cut) > 0.02 * abs(cut)
         if sure:
             assert got[d["doc_id"]][0]["kept"] == kept, d["doc_id"]
+            rejected += not kept
+    assert rejected
+
+
+def test_op5_cutoffs_come_from_the_sketches(spark):
+    """Each group of languages and sources that spread differently has cutoffs of its own; a clean outlier-free group loses few."""
+    from corpusforge.llm.quality_rules import apply_quality
+
+    r = random.Random(8)
+    rows = []
+    for i in range(600):
+        wide = i % 2
+        w = ["a" * r.randint(4, 6 + 3 * wide) for _ in range(60)]
+        w += ["#"] * (r.randint(0, 6) if wide else 0)
+        rows.append((i, " ".join(f"{x}{r.randrange(10**6)}" for x in w), "en", f"s{wide}"))
+    rows += [(1000, " ".join(f"{'b' * 40}{k}" for k in range(60)), "en", "s0"), (1001, "# " * 30 + " ".join(f"word{k}" for k in range(60)), "en", "s0")]
+    rows += [(1002, " ".join(f"{x}{k:06}" for k, x in enumerate(["#"] * 5 + ["aaaaaa"] * 30 + ["aaaaaaa"] * 30)), "en", "s1")]
+    out = {x["doc_id"]: x["__cf_kept"] for x in apply_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[1000] and not out[1001] and out[1002]
+    assert sum(out[i] for i in range(600)) >= 0.95 * 600
 
 
 # 7 ------------------------------------------------------------------------------
