@@ -2,22 +2,25 @@
 
 The tree: a url's path segments, lexically classed (numbers, hex ids, dates), are the
 levels below its host. Level by level, a node whose children are many and rarely
-repeat is a variable segment: its children become one wildcard. Sibling templates
-that differ in one literal segment are merged if a chi-square test finds no
-difference between their labelled rates. Each template then has a purity, the share
-of rejected urls among its labelled ones, smoothed towards its host's rate, which is
-itself smoothed towards the corpus rate; pure templates are rejected.
+repeat is a variable segment: its children become one wildcard, so that what follows is
+a template. Literal branches of one node are then merged if they are statistically
+similar: a chi-square test compares each branch's urls by what follows with those of
+all branches, and another the labelled rates of the merged branches with enough labels.
+Merged branches pool their labels, so a branch without labels of its own borrows those of
+its like. Each template has a purity, the share of rejected urls among its labelled
+ones, smoothed towards its host's rate, which is itself smoothed towards the corpus rate;
+templates with ``MIN_LABELS`` labels, own or pooled, and a purity of ``REJECT_AT`` go.
 
-Labels are the decisions of the curated rules, so a template needs ``MIN_LABELS``
-urls that a rule decides before it can decide others: without evidence a url stays.
+Labels are the decisions of the curated rules: without evidence a url stays.
 
-Urls are counted by (host, template) before anything is shuffled, so a host with a
-third of all pages is a few rows. Paths deeper than ``DEPTH`` keep the rest as one
-last segment. Nothing is broadcast by hand.
+Urls are counted by (host, path) before anything is shuffled, so a host with a third of
+all pages is a row for each of its paths. The driver learns at which levels some host has
+``VARIABLE_CHILDREN`` segments; only those take a round. Nothing is broadcast by hand but one row.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no
-rule, and is allowed; null ids pass through; repeated rows are judged row by row; an
-empty table gives an empty result; extra columns are ignored.
+rule, and is allowed; null ids pass through; repeated rows are judged row by row; of
+merges with as many labels the one with more rejected counts; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ from corpusforge.session import materialize
 
 #: (verdict, host, path prefix): a rule fits its host and all subdomains.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 5
 #: A node is variable with so many distinct children, each seen so often at most.
 VARIABLE_CHILDREN, VARIABLE_MEAN = 20, 3.0
 MIN_LABELS, PRIOR, REJECT_AT = 5, 4.0, 0.8
@@ -60,7 +62,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """Lexically classed segments of a path; beyond DEPTH the rest is one segment."""
+    """Lexically classed segments of a path."""
     seg = F.filter(F.split(path, "/", -1), lambda s: s != "")
 
     def classed(s: Column) -> Column:
@@ -73,36 +75,53 @@ def segments(path: Column) -> Column:
         )
         return F.concat(kind, ext)
 
-    cut = F.when(F.size(seg) > DEPTH, F.concat(F.slice(seg, 1, DEPTH), F.array(F.lit("{rest}")))).otherwise(seg)
-    return F.transform(cut, classed)
+    return F.transform(seg, classed)
 
 
 def _generalise(t: DataFrame) -> DataFrame:
     """Wildcards for variable segments, level by level from the root. ``t``: host, segs, tpl, n, bad, seen."""
-    for level in range(DEPTH):
-        here = F.get("tpl", F.lit(level))
-        node = t.filter(F.size("tpl") > level).select("host", F.slice("tpl", 1, level).alias("up"), here.alias("s"), "n")
+    width = t.select("host", F.posexplode("tpl").alias("level", "s")).groupBy("host", "level").agg(F.count_distinct("s").alias("k"))
+    levels = width.groupBy("level").agg(F.max("k").alias("k")).filter(F.col("k") >= VARIABLE_CHILDREN)
+    for level in sorted(r[0] for r in levels.select("level").collect()):
+        node = t.filter(F.size("tpl") > level).select("host", F.slice("tpl", 1, level).alias("up"), F.get("tpl", F.lit(level)).alias("s"), "n")
         child = node.groupBy("host", "up", "s").agg(F.sum("n").alias("n"))
         wild = child.groupBy("host", "up").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter((F.col("k") >= VARIABLE_CHILDREN) & (F.col("n") <= VARIABLE_MEAN * F.col("k")))
         wild = wild.select(F.col("host").alias("w_host"), F.col("up").alias("w_up"))
         on = (F.col("host") == F.col("w_host")) & (F.slice("tpl", 1, level) == F.col("w_up")) & (F.size("tpl") > level)
-        star = F.concat(F.slice("tpl", 1, level), F.array(F.lit("*")), F.slice("tpl", level + 2, DEPTH + 1))
+        star = F.concat(F.slice("tpl", 1, level), F.array(F.lit("*")), F.slice("tpl", F.lit(level + 2), F.size("tpl")))
         t = t.join(wild, on, "left").withColumn("tpl", F.when(F.col("w_host").isNotNull(), star).otherwise(F.col("tpl"))).drop("w_host", "w_up")
         t = materialize(t, "level")
     return t
 
 
+def _critical(free: Column) -> Column:
+    """Chi-square quantile at 0.95."""
+    return F.when(free < 1, F.lit(0.0)).otherwise(F.coalesce(F.get(F.array(*[F.lit(x) for x in CHI2]), (free - 1).cast("int")), free + 1.645 * F.sqrt(2.0 * free)))
+
+
 def _merge(templates: DataFrame) -> DataFrame:
-    """Template statistics with those of the homogeneous siblings they merge with (seen_m, bad_m)."""
-    each = templates.filter(F.col("seen") >= MIN_LABELS).select("*", F.posexplode("tpl").alias("i", "lit")).filter(~F.rlike("lit", F.lit(r"[*{]")))
-    each = each.withColumn("group", F.concat(F.slice("tpl", 1, F.col("i")), F.array(F.lit("*")), F.slice("tpl", F.col("i") + 2, F.lit(DEPTH + 1))))
-    g = each.groupBy("host", "group", "i").agg(F.count(F.lit(1)).alias("k"), F.sum("seen").alias("s"), F.sum("bad").alias("b"), F.sum(F.col("bad") * F.col("bad") / F.col("seen")).alias("b2"))
-    p = F.col("b") / F.col("s")
-    chi2 = F.when((p > 0) & (p < 1), (F.col("b2") - F.col("s") * p * p) / (p * (1 - p))).otherwise(F.lit(0.0))
-    free = F.col("k") - 1
-    most = F.coalesce(F.get(F.array(*[F.lit(x) for x in CHI2]), (free - 1).cast("int")), free + 1.645 * F.sqrt(2.0 * free))
-    same = g.filter((F.col("k") > 1) & (chi2 <= most)).select("host", "group", "i", "s", "b")
-    best = each.join(same, ["host", "group", "i"]).groupBy("host", "tpl").agg(F.max(F.struct("s", "b")).alias("m"))
+    """Templates with the labels of the branches they merge with (seen_m, bad_m)."""
+    each = templates.select("host", "tpl", "n", "seen", "bad", F.posexplode("tpl").alias("i", "lit")).filter(~F.rlike("lit", F.lit(r"[*{]")))
+    each = each.withColumns({"up": F.slice("tpl", F.lit(1), F.col("i")), "tail": F.slice("tpl", F.col("i") + 2, F.size("tpl"))})
+    node, branch = ["host", "up", "i"], ["host", "up", "i", "lit"]
+    # Is a branch like all branches of its node, by what follows it?
+    tails = each.groupBy(*node, "tail").agg(F.sum("n").alias("n_tail"), F.count(F.lit(1)).alias("k_tail"))
+    nodes = tails.groupBy(*node).agg(F.sum("n_tail").alias("n_node"), F.count(F.lit(1)).alias("n_tails"), F.max("k_tail").alias("most"))
+    nodes = nodes.filter("most > 1").drop("most")
+    x = each.join(nodes, node).join(tails, [*node, "tail"])
+    fits = x.groupBy(*branch, "n_node", "n_tails").agg(F.sum("n").alias("n_own"), F.sum(F.col("n") * F.col("n") * F.col("n_node") / F.col("n_tail")).alias("q"))
+    fits = fits.filter(F.col("q") / F.col("n_own") - F.col("n_own") <= _critical(F.col("n_tails") - 1) + 1e-9).select(*branch)
+    like = materialize(each.join(fits, branch), "branches")
+    # Do the branches with labels enough agree, in each template?
+    sure = F.col("seen") >= MIN_LABELS
+    pick = lambda c: F.coalesce(F.sum(F.when(sure, c)), F.lit(0.0))
+    g = like.groupBy(*node, "tail").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("seen").alias("s"), F.sum("bad").alias("b"), F.count_if(sure).alias("ks"), pick(F.col("seen")).alias("ss"), pick(F.col("bad")).alias("bs"), pick(F.col("bad") * F.col("bad") / F.col("seen")).alias("b2")
+    )
+    p = F.col("bs") / F.greatest(F.col("ss"), F.lit(1))
+    chi2 = F.when((p > 0) & (p < 1), (F.col("b2") - F.col("ss") * p * p) / (p * (1 - p))).otherwise(F.lit(0.0))
+    same = g.filter((F.col("k") > 1) & (chi2 <= _critical(F.col("ks") - 1) + 1e-9)).select(*node, "tail", "s", "b")
+    best = like.join(same, [*node, "tail"]).groupBy("host", "tpl").agg(F.max(F.struct("s", "b")).alias("m"))
     return templates.join(best, ["host", "tpl"], "left").withColumns({"seen_m": F.coalesce("m.s", "seen"), "bad_m": F.coalesce("m.b", "bad")}).drop("m")
 
 

@@ -79,6 +79,91 @@ def test_op1_learns_templates(spark):
     assert got["http://shop.com/ads/free/p1"]["verdict"] == "allow"
 
 
+def plain_tree(urls):
+    """Template tree from its definition: (host, segments) -> (template, purity, labels, rejected)."""
+    from corpusforge.llm.url_filter import CHI2, MIN_LABELS, PRIOR, REJECT_AT, VARIABLE_CHILDREN, VARIABLE_MEAN
+
+    most = lambda df: 0.0 if df < 1 else CHI2[df - 1] if df <= len(CHI2) else df + 1.645 * math.sqrt(2 * df)
+    tpl = {(h, s): list(s) for h, s, _ in urls}
+    n = Counter((h, s) for h, s, _ in urls)
+    for level in range(max((len(s) for _, s in tpl), default=0)):
+        nodes = defaultdict(Counter)
+        for (h, s), t in tpl.items():
+            if len(t) > level:
+                nodes[h, tuple(t[:level])][t[level]] += n[h, s]
+        wild = {k for k, c in nodes.items() if len(c) >= VARIABLE_CHILDREN and c.total() <= VARIABLE_MEAN * len(c)}
+        for (h, _), t in tpl.items():
+            if len(t) > level and (h, tuple(t[:level])) in wild:
+                t[level] = "*"
+    tpl = {k: tuple(t) for k, t in tpl.items()}
+    count, seen, bad = Counter(), Counter(), Counter()
+    for h, s, label in urls:
+        k = h, tpl[h, s]
+        count[k] += 1
+        seen[k] += label is not None
+        bad[k] += label == 1
+    branches = defaultdict(lambda: defaultdict(dict))
+    for h, t in count:
+        for i, lit in enumerate(t):
+            if not re.search(r"[*{]", lit):
+                branches[h, t[:i]][lit][t[i + 1 :]] = h, t
+    pooled = {k: [] for k in count}
+    for members in branches.values():
+        tail = Counter()
+        for m in members.values():
+            for x, k in m.items():
+                tail[x] += count[k]
+        like = []
+        for m in members.values():
+            own = sum(count[k] for k in m.values())
+            chi = sum(count[k] ** 2 * tail.total() / (own * tail[x]) for x, k in m.items()) - own
+            if chi <= most(len(tail) - 1) + 1e-9:
+                like.append(m)
+        for x in tail:
+            ks = [m[x] for m in like if x in m]
+            sure = [k for k in ks if seen[k] >= MIN_LABELS]
+            ss, bs = sum(seen[k] for k in sure), sum(bad[k] for k in sure)
+            p = bs / ss if ss else 0
+            chi = sum((bad[k] - seen[k] * p) ** 2 / (seen[k] * p * (1 - p)) for k in sure) if 0 < p < 1 else 0
+            if len(ks) > 1 and chi <= most(len(sure) - 1) + 1e-9:
+                for k in ks:
+                    pooled[k].append((sum(seen[j] for j in ks), sum(bad[j] for j in ks)))
+    h_seen, h_bad = Counter(), Counter()
+    for h, t in count:
+        h_seen[h] += seen[h, t]
+        h_bad[h] += bad[h, t]
+    rate = (h_bad.total() + 1) / (h_seen.total() + 2)
+    out = {}
+    for (h, s), t in tpl.items():
+        sm, bm = max(pooled[h, t], default=(seen[h, t], bad[h, t]))
+        purity = (bm + PRIOR * (h_bad[h] + PRIOR * rate) / (h_seen[h] + PRIOR)) / (sm + PRIOR)
+        out[h, s] = "/" + "/".join(t), purity, sm, sm >= MIN_LABELS and purity >= REJECT_AT
+    return out
+
+
+@pytest.mark.parametrize("at", ["hard", "/root/testdata/sf0.1"])
+def test_op1_tree_equals_plain(spark, hard, at):
+    """With the real rules the tree is that of the plain version, and rejects some urls on which no rule speaks."""
+    from pyspark.sql import functions as F
+
+    from corpusforge.llm.url_filter import segments
+
+    at = hard if at == "hard" else at
+    got = run(spark, "op1_url_filter", at)
+    paths = {r[0]: tuple(r[1]) for r in spark.createDataFrame([(p,) for p in {r["path"] for r in got}], "p string").select("p", segments(F.col("p"))).collect()}
+    label = lambda r: None if r["rule"] is None else int(r["verdict"] == "block")
+    want = plain_tree([(r["host"], paths[r["path"]], label(r)) for r in got])
+    method = Counter()
+    for r in got:
+        template, purity, _, reject = want[r["host"], paths[r["path"]]]
+        assert r["template"] == template and r["purity"] == pytest.approx(purity, abs=1e-9)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if reject else "allow")
+            method[r["verdict"]] += 1
+    if at != hard:
+        assert method["block"] > 10 and method["allow"] > 100
+
+
 # 2 ------------------------------------------------------------------------------
 
 
@@ -273,8 +358,6 @@ def targets(sizes):
 
 
 def test_op7_targets_and_takes(spark, hard, hard_rows):
-    from corpusforge.llm.mixing import fair_queue, mix_stream
-
     got = run(spark, "op7_mixing", hard)
     assert Counter(r["doc_id"] for r in got) == Counter(d["doc_id"] for d in hard_rows)
     size, source = ({d["doc_id"]: f(d) for d in hard_rows} for f in (lambda d: len(words(d["text"])), lambda d: d["source"]))
@@ -289,15 +372,42 @@ def test_op7_targets_and_takes(spark, hard, hard_rows):
         assert r["target"] == pytest.approx(want[s], rel=1e-9)
         assert 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
+    # The last copy served of each source may be cut off or missing, and the others share what is left.
+    most = {s: max(size[i] for i in size if source[i] == s) for s in want}
     for s in want:
-        assert taken[s] == math.floor(want[s] + 1e-9) or abs(taken[s] - want[s]) <= 1
+        assert abs(taken[s] - want[s]) <= most[s] + sum(most.values()) / len(most) + 1
+    assert sum(taken.values()) == sum(per.values())
     again = run(spark, "op7_mixing", hard)
     assert Counter(map(repr, (sorted(r.items()) for r in got))) == Counter(map(repr, (sorted(r.items()) for r in again)))
-    # The stream serves what the documents took, in order of virtual finish time.
-    q = fair_queue(spark.read.parquet(f"{hard}/documents.parquet"), carry=["doc_id"])
-    stream = mix_stream(q).select("doc_id", "__finish", "__copy_words").collect()
-    assert [r["__finish"] for r in stream] == sorted(r["__finish"] for r in stream)
-    assert sum(r["__copy_words"] for r in stream) == sum(taken.values())
+
+
+@pytest.mark.parametrize("share,slices", [(1.0, 4096), (1.0, 3), (0.4, 50), (3.5, 7)])
+def test_op7_takes_come_from_the_queue(spark, hard, hard_rows, share, slices, monkeypatch):
+    """Prefix sums are those of each source's queue, and takes are those of the sorted stream cut at the budget."""
+    from corpusforge.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLICES", slices)
+    docs = spark.read.parquet(f"{hard}/documents.parquet").unionByName(spark.createDataFrame([(None, f"no id {i} " * 5, "en", "src1", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long"))
+    q = mixing.fair_queue(docs, carry=["doc_id", "source"], budget_share=share)
+    rows = [r.asDict() for r in q.collect()]
+    queues = defaultdict(list)
+    for r in rows:
+        queues[r["source"]].append(r)
+    for own in queues.values():
+        ahead = 0
+        for r in sorted(own, key=lambda r: (r["__before"], r["__size"] > 0)):
+            assert r["__before"] == ahead and r["__finish"] == (ahead + r["__size"]) / r["__weight"]
+            ahead += r["__size"]
+        assert all(r["__source_size"] == ahead for r in own)
+    stream = sorted((r["__finish"] + e * r["__source_size"] / r["__weight"], r["__k"], r["__before"], e, n) for n, r in enumerate(rows) if r["__size"] for e in range(3))
+    left, want = int(sum(r["__size"] for r in rows) * share), Counter()
+    for *_, n in stream:
+        want[n] += min(left, rows[n]["__size"])
+        left -= min(left, rows[n]["__size"])
+    assert [r["__taken"] for r in rows] == [want[n] for n in range(len(rows))]
+    served = mixing.mix_stream(q).select("doc_id", "__finish", "__copy_words").collect()
+    assert [r["__finish"] for r in served] == sorted(r["__finish"] for r in served)
+    assert sum(r["__copy_words"] for r in served) == want.total()
 
 
 # 8 ------------------------------------------------------------------------------
