@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all
+    runs in one process, as in local tests, a temporary folder takes its place.
     """
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = sc.applicationId
     if key not in _OWN_DIRS:
         _OWN_DIRS[key] = tempfile.mkdtemp(prefix="corpusforge-")
@@ -59,11 +61,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df`` once nothing reads it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/corpusforge/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``tables`` once nothing reads it again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/corpusforge/" in f:
+                p = path(f)
+                p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
