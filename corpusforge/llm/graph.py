@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.session import materialize
+from corpusforge.session import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
+        seen, last = state, edges
         edges = materialize(_star(_star(edges, large=True), large=False), "stars")
+        discard(last)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.llm.graph import components
 from corpusforge.llm.simhash import embed, whole_cells
-from corpusforge.session import materialize
+from corpusforge.session import discard, materialize
 
 SHINGLE, SIMILARITY, SEED, RADIUS = 5, 0.8, 42, 30
 CELL, RECALL, LEAST_FIXED = 8192, 0.96, 8
@@ -209,8 +209,8 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
 
 
-def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``nodes`` (node, f0, f1): candidate pairs (a, b) and the members (key, node, f0, f1) of dense cells."""
+def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``nodes`` (node, f0, f1): candidate pairs (a, b), the members (key, node, f0, f1) of dense cells, and the table that holds these."""
     masks = grids(n)
 
     def spread(batches):
@@ -236,7 +236,8 @@ def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     cells = nodes.select("node", "f0", "f1").mapInArrow(spread, "key long, node long, f0 long, f1 long")
     found = cells.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long, key long, node long, f0 long, f1 long")
     found = materialize(found, "found")
-    return materialize(found.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs"), found.filter("key IS NOT NULL").select("key", "node", "f0", "f1")
+    pairs = materialize(found.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    return pairs, found.filter("key IS NOT NULL").select("key", "node", "f0", "f1"), found
 
 
 def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
@@ -269,51 +270,70 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a long, b long")
 
 
-def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` with a key ``__row``: (row, node) of each row, and (node, root, first) of each node.
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, th) of the documents that have an earlier one in their group, and of those that stay but are repeated.
 
-    ``first`` is the node's first row: (is its id null, id, text hash, row).
+    A document is named by its id and the hash of its text; earlier is by id, null last, and text hash.
     """
-    slim = rows.select(F.col(f"`{doc_id}`").alias("id"), "__row", F.col(f"`{text}`").alias("text"))
+    of = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(of, F.lit(""))).alias("th"), of.alias("text"))
+    id_type = slim.schema["id"].dataType.simpleString()
 
     def sign(batches):
         for b in batches:
-            th, name, f = [], [], np.empty((b.num_rows, 2), np.uint64)
+            name, f = [], np.empty((b.num_rows, 2), np.uint64)
             for k, t in enumerate(b.column(2)):
-                t = t.as_py() or ""
-                own = shingle_set(t)
-                th.append(xxhash.xxh64_intdigest(t, SEED)), name.append(xxhash.xxh128_digest(own.tobytes()))
+                own = shingle_set(t.as_py())
+                name.append(xxhash.xxh128_digest(own.tobytes()))
                 f[k] = wide_fingerprint(own)
             f = f.view(np.int64)
-            th = np.array(th, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(th), pa.array(name, pa.binary()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(2)]], ["id", "row", "th", "name", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name, pa.binary()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(2)]], ["id", "th", "name", "f0", "f1"])
 
-    signed = materialize(slim.mapInArrow(sign, f"id {slim.schema['id'].dataType.simpleString()}, row long, th long, name binary, f0 long, f1 long"), "signed")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "row")).alias("first")
+    signed = materialize(slim.mapInArrow(sign, f"id {id_type}, th long, name binary, f0 long, f1 long"), "signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
     nodes = signed.groupBy("name").agg(first, F.min("f0").alias("f0"), F.min("f1").alias("f1")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
-    pairs, dense = candidates(nodes, nodes.count())
+    pairs, dense, found = candidates(nodes, nodes.count())
+    repeated = materialize(signed.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "th"), "repeated")
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    met = materialize(nodes.join(met, "node", "left_semi").select("node", F.col("first.row").alias("__row")), "met")
+    met = materialize(nodes.join(met, "node", "left_semi").select("node", F.col("first.id").alias("m_id"), F.col("first.th").alias("m_th")), "met")
 
     def own_sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "own"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "own"])
 
-    sets = materialize(rows.select("__row", F.col(f"`{text}`").alias("text")).join(met, "__row").select("node", "text").mapInArrow(own_sets, "node long, own binary"), "sets")
+    texts = slim.join(met, (F.col("th") == F.col("m_th")) & F.col("id").eqNullSafe(F.col("m_id"))).select("node", "text")
+    sets = texts.mapInArrow(own_sets, "node long, own binary")
+    sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = materialize(verified(pairs, sets), "links")
     roots = components(links)
     more = materialize(still_apart(dense, roots, pairs), "apart")
     if not more.isEmpty():
-        roots = components(materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)), "links"))
-    nodes = nodes.join(roots, "node", "left").select("name", "node", F.coalesce("root", "node").alias("root"), "first")
-    return signed.select("row", "name"), materialize(nodes, "groups")
+        again = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)), "links")
+        discard(roots)
+        roots = components(again)
+        discard(again)
+    discard(pairs, found, met, sets, links, more)
+    groups = nodes.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("root"), "first")
+    stay = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("s_id"), F.col("first.th").alias("s_th"))
+    stay = materialize(stay, "stay")
+    is_first = (F.col("th") == F.col("s_th")) & F.col("id").eqNullSafe(F.col("s_id"))
+    gone = materialize(signed.select("id", "th").join(stay, is_first, "left_anti").distinct(), "gone")
+    twice = materialize(repeated.join(stay, is_first, "left_semi"), "twice")
+    discard(signed, nodes, repeated, roots, stay)
+    return gone, twice
 
 
 def stage_near_dedup(spark, docs, sf_dir, doc_id: str = "doc_id", text: str = "text"):
     """``docs`` with one row of each group of near copies: the first by id (null last) and text hash. All columns of ``docs``."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    signed, nodes = near_groups(rows, doc_id, text)
-    stay = nodes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    gone = materialize(signed.select("row").join(stay, "row", "left_anti").select(F.col("row").alias("__row")), "gone")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    gone, twice = (x.select(F.col("id").alias("__g_id"), F.col("th").alias("__g_th")) for x in near_groups(docs, doc_id, text))
+    x = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    same = (F.col("__th") == F.col("__g_th")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__g_id"))
+    x = x.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        # Only rows that are repeated are gathered, one of each before they are sent.
+        one = x.join(twice, same, "left_semi").dropDuplicates([doc_id, "__th"])
+        x = x.join(twice, same, "left_anti").unionByName(one)
+    return x.drop("__th")
