@@ -2,17 +2,17 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts.
 A text's bytes are compressed with each; the difference of the two sizes over their
-sum, with how far the text compresses at all as a second feature of the same sizes, is
-calibrated to a probability by logistic regression on labelled texts that went into
-neither dictionary.
+sum, which is all that a score depends on, is calibrated to a probability by logistic
+regression on labelled texts that went into neither dictionary, so scores rise with it.
 
 Training takes at most ``SAMPLE_DOCS`` labelled documents of each class and use
-(dictionary, calibration), those with the smallest hashes of their ids, and at most
-``SAMPLE_CHARS`` characters in all of each; these bounds are the only ones. Every
-document is scored whole. Labels, language, source and id are no inputs of a score.
+(dictionary, calibration), those with the smallest hashes of their ids, in that order
+until ``SAMPLE_CHARS`` characters of each are reached; these bounds are the only ones.
+Every document is scored whole. Labels, language, source and id are no inputs of a score.
 
-Defined results: null and empty texts are scored as the empty text, whose features
-are zero; a null id is scored but never trained on; repeated rows get equal scores;
+Defined results: null and empty texts are scored as the empty text, whose difference
+is zero; texts with one difference get one score; of labels that contradict each other
+for one id the bad one counts; a null id is scored but never trained on; repeated rows get equal scores;
 with no labels of a class every score is the share of good labels (0.5 without any);
 an empty table gives an empty result; other columns are ignored.
 """
@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 FOLDS, HELD, CUT = 4, 2, 0.7
@@ -46,20 +47,20 @@ class Sizes:
     def __getstate__(self):
         return {"dicts": self.dicts, "_made": None}
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def difference(self, text: str | None) -> float:
+        """By how much the text compresses better with the good dictionary, between -1 and 1."""
         if self._made is None:
             self._made = [zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in self.dicts]
         raw = (text or "").encode()
         if not raw:
-            return 0.0, 0.0, 0.0
+            return 0.0
         good, bad = (len(c.compress(raw)) for c in self._made)
-        return (bad - good) / (bad + good), min(good, bad) / len(raw), float(np.log1p(len(raw)) / 10)
+        return (bad - good) / (bad + good)
 
 
-def spread(f: np.ndarray) -> np.ndarray:
-    """Inputs of the calibration: the size difference, the ratio and their shapes, with a constant."""
-    d, r, n = f.T
-    return np.column_stack((np.ones(len(f)), d, d * d, r, r * r, d * r, n, d * n, r * n))
+def inputs(differences) -> np.ndarray:
+    """Inputs of the calibration: a constant and the difference."""
+    return np.column_stack((np.ones(len(differences)), differences))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> np.ndarray:
@@ -100,18 +101,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     train = labels.filter(F.col("quality").isin(0, 1) & (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD))
     train = train.select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
     counts = dict(train.groupBy("quality").count().collect())
+    chosen = [(r[0], r[1], q) for q in sorted(counts) for r in train.filter(F.col("quality") == q).select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(per_class).collect()]
     of: dict = {}
-    for q in sorted(counts):
-        for r in train.filter(F.col("quality") == q).select("h", "doc_id").distinct().orderBy("h", "doc_id").limit(per_class).collect():
-            of.setdefault(r[1], q)
+    for q, i in sorted((q, i) for _, i, q in chosen):
+        of.setdefault(i, q)
+    of = {i: of[i] for _, i, q in sorted(chosen) if of[i] == q}
     if not of:
         return [], None
-    ids = docs.sparkSession.createDataFrame([(i,) for i in of], labels.select("doc_id").schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("n", F.length("text"))
+    schema = T.StructType([labels.schema["doc_id"], T.StructField("pos", T.IntegerType())])
+    ids = docs.sparkSession.createDataFrame([(i, k) for k, i in enumerate(of)], schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
     # One row for each chosen id, however often it is repeated.
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("n", "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), F.col("t.n").alias("n"))
-    upto = F.sum("n").over(W.orderBy("n", "doc_id"))
-    rows = rows.withColumn("upto", upto).filter(F.coalesce("upto", F.lit(0)) <= 4 * SAMPLE_CHARS)
+    rows = rows.groupBy("doc_id", "pos").agg(F.min(F.struct("n", "text")).alias("t")).select("doc_id", "pos", F.col("t.text").alias("text"), F.col("t.n").alias("n"))
+    # As many texts of each class go before any text, so both come from the same share of the ids.
+    before = F.coalesce(F.sum("n").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before).filter(F.col("before") < 4 * SAMPLE_CHARS)
     found = {r[0]: r[1] for r in rows.select("doc_id", "text").collect()}
     return [(found[i] or "", q) for i, q in of.items() if i in found], counts.get(1, 0) / sum(counts.values())
 
@@ -140,13 +144,13 @@ class Model:
         for q in (0, 1):
             for n, t in enumerate(t for t, own in sample if own == q):
                 kept = use[q, n % 2]
-                if sum(map(len, kept)) + len(t) <= SAMPLE_CHARS:
+                if sum(map(len, kept)) < SAMPLE_CHARS:
                     kept.append(t)
         if all(use.values()):
             self.sizes = Sizes(make_dictionary(use[1, 0]), make_dictionary(use[0, 0]))
-            x = np.array([self.sizes.features(t) for q in (0, 1) for t in use[q, 1]])
+            x = inputs([self.sizes.difference(t) for q in (0, 1) for t in use[q, 1]])
             own = np.concatenate((np.zeros(len(use[0, 1])), np.ones(len(use[1, 1]))))
-            self.weights = fit_logistic(spread(x), own)
+            self.weights = fit_logistic(x, own)
             sampled = len(use[1, 1]) / len(own)
             self.weights[0] += np.log(self.prior / (1 - self.prior)) - np.log(sampled / (1 - sampled))
 
@@ -155,7 +159,7 @@ class Model:
             return np.full(len(texts), self.prior)
         if not len(texts):
             return np.zeros(0)
-        x = spread(np.array([self.sizes.features(t) for t in texts]))
+        x = inputs([self.sizes.difference(t) for t in texts])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 

@@ -12,13 +12,15 @@ What is retrieved is verified on words: an item leaks if the passage holds at le
 0.8 of its five-word shingles, and 0.8 of those of its question or of the words of
 its answer, which is its last sentence. Question and answer overlap are reported.
 
-The index goes to the executors in shards of at most ``SHARD_CHARS`` characters of
-item text, which bounds what is broadcast; each shard is one pass over the documents.
-There is no shuffle. Texts are read whole.
+The index goes to the executors in shards of about ``SHARD_CHARS`` characters of item
+text, which bounds what is broadcast; each shard is one pass over the documents.
+Document frequencies, lengths and the passages' size are those of all items, so scores
+and what is found do not depend on the shards. Documents are not shuffled and read whole.
 
 Defined results: null and empty texts never leak; items without words match nothing;
 null ids pass through; repeated rows give repeated hits; repeated items are items
-each; empty tables give empty results; other columns are ignored, or kept by
+each; of a document's passages that hold an item with one score the one with more
+overlap counts; empty tables give empty results; other columns are ignored, or kept by
 ``drop_leaks``.
 """
 
@@ -29,12 +31,15 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.session import materialize
+
 SHINGLE, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 K1, B, BLOCK_ITEMS = 1.2, 0.75, 8
 SHARD_CHARS = 2_000_000
@@ -65,22 +70,34 @@ def shingles(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+class Collection(NamedTuple):
+    """What BM25 asks of all items: how many have words, their mean and largest lengths, and the items with each word."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict
+
+    @classmethod
+    def of(cls, items: list[tuple]) -> Collection:
+        own = [w for _, t in items if (w := words_of(t))]
+        return cls(len(own), sum(map(len, own)) / max(1, len(own)), max(map(len, own), default=1), Counter(x for w in own for x in set(w)))
+
+
 class ItemIndex:
     """BM25 postings of the items, normalised by self-score, with block maxima."""
 
-    def __init__(self, items: list[tuple], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple], threshold: float = THRESHOLD, collection: Collection | None = None):
         self.threshold = threshold
         rows = [(i, t, w) for i, t in items if (w := words_of(t))]
-        df = Counter(x for _, _, w in rows for x in set(w))
+        total, mean, self.longest, df = collection or Collection.of(items)
         # Items that share frequent words, so mostly of one language, share blocks.
         rows.sort(key=lambda r: (sorted(((-df[x], x) for x in set(r[2])))[:3], r[1]))
         self.ids = [r[0] for r in rows]
         self.parts = [split_item(r[1]) for r in rows]
         self.shingles = [shingles(r[2]) for r in rows]
-        self.longest = max((len(r[2]) for r in rows), default=1)
-        mean = sum(len(r[2]) for r in rows) / max(1, len(rows))
-        self.vocab = {x: k for k, x in enumerate(sorted(df))}
-        idf = {x: math.log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+        self.vocab = {x: k for k, x in enumerate(sorted({x for r in rows for x in r[2]}))}
+        idf = {x: math.log(1 + (total - df[x] + 0.5) / (df[x] + 0.5)) for x in self.vocab}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, (_, _, w) in enumerate(rows):
             tf = Counter(w)
@@ -204,13 +221,26 @@ class ItemIndex:
         return found
 
 
-def shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS):
+def shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", shard_chars: int | None = None):
     """The items as indexes, one for each shard; sizes are summed before anything is collected."""
-    total = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
-    n = -(-total // shard_chars) or 1
+    items = benchmark.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // (shard_chars or SHARD_CHARS)) or 1
+    if n == 1:
+        yield ItemIndex([(r[0], r[1]) for r in items.collect()])
+        return
+    low = F.translate(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.withColumns({"shard": F.pmod(F.xxhash64("text"), F.lit(n)), "words": F.split(F.when(low != "", low), r"[\x20\x09-\x0D]+", -1)})
+    words = materialize(words.filter("words IS NOT NULL"), "items")
+    count, mean, longest = words.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    each = words.select("shard", F.explode(F.array_distinct("words")).alias("w"))
+    # Frequencies over all items, kept for the shards that hold the word.
+    df = materialize(each.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.collect_set("shard").alias("shards")), "frequencies")
     for k in range(n):
-        mine = benchmark.filter(F.pmod(F.xxhash64(text), F.lit(n)) == k) if n > 1 else benchmark
-        yield ItemIndex([(r[0], r[1]) for r in mine.select(item_id, text).collect()])
+        own = {r[0].encode(): r[1] for r in df.filter(F.array_contains("shards", F.lit(k).cast("long"))).select("w", "df").collect()}
+        mine = [(r[0], r[1]) for r in words.filter(F.col("shard") == k).select("id", "text").collect()]
+        if mine:
+            yield ItemIndex(mine, collection=Collection(count, mean, longest, own))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -218,7 +248,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     slim = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
     id_type, item_type = slim.schema[0].dataType, benchmark.schema[item_id].dataType
     schema = f"{doc_id} {id_type.simpleString()}, {item_id} {item_type.simpleString()}, score double, item_overlap double, question_overlap double, answer_overlap double"
-    out = None
+    out = slim.limit(0).select(doc_id, F.lit(None).cast(item_type).alias(item_id), *[F.lit(0.0).alias(c) for c in ("score", "item_overlap", "question_overlap", "answer_overlap")])
+    first = True
     for index in shards(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -230,7 +261,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([*cols, *[pa.array([r[2][k] for r in rows], pa.float64()) for k in range(4)]], [doc_id, item_id, "score", "item_overlap", "question_overlap", "answer_overlap"])
 
         hits = slim.mapInArrow(work, schema)
-        out = hits if out is None else out.unionByName(hits)
+        out, first = hits if first else out.unionByName(hits), False
     return out
 
 

@@ -6,7 +6,7 @@ Lines on ``min_sites`` sites or more are boilerplate: they stay where they come
 first, in the document with the smallest id, and go everywhere else.
 
 The lines found go to the executors if there are at most ``BROADCAST_LINES`` (16
-bytes each, counted before); beyond that, documents meet their own removed lines in
+bytes each, counted before); beyond that, documents meet their own boilerplate lines in
 a join. Both ways give the same rows.
 
 Lines are compared without ASCII space around them; blank ones are no lines and stay.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +31,10 @@ MIN_SITES, LG_K, NEAR, BROADCAST_LINES = 8, 12, 0.15, 500_000
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """(__id, __site, __line): a row for each line with a word."""
+    """(__id, __text, __site, __line): a row for each line with a word; ``__text`` is the hash of the whole text."""
     lines = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE))), lambda x: x != "")
-    x = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{source}`").cast("string").alias("__site"), F.explode(lines).alias("__l"))
-    return x.select("__id", "__site", F.xxhash64("__l").alias("__line"))
+    x = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__text"), F.col(f"`{source}`").cast("string").alias("__site"), F.explode(lines).alias("__l"))
+    return x.select("__id", "__text", "__site", F.xxhash64("__l").alias("__line"))
 
 
 def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
@@ -50,70 +50,70 @@ def boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     return materialize(sure.select("__line", "__owner").unionByName(near), "boilerplate"), lines
 
 
-def _by_broadcast(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    owner = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in found.collect()})
-    n_id, n_text = docs.columns.index(doc_id), docs.columns.index(text)
-
-    def clean(t: str | None, own) -> tuple[str | None, int, int]:
-        if t is None:
-            return None, 0, 0
-        of, keep, n, seen = owner.value, [], 0, set()
-        raw = t.encode()
-        lines = raw.split(b"\n")
-        for line in lines:
-            bare = line.strip(b" \t\n\x0b\x0c\r")
-            if not bare:
-                keep.append(line)
-                continue
+def _clean(t: str | None, gone, once) -> tuple[str | None, int, int]:
+    """``t`` without its lines whose hash is in ``gone``, and without all but the first of each in ``once``; its lines, and how many went."""
+    if t is None:
+        return None, 0, 0
+    lines = t.encode().split(b"\n")
+    keep, n, seen = [], 0, set()
+    for line in lines:
+        bare = line.strip(SPACE.encode())
+        if bare:
             n += 1
             h = xxhash.xxh64_intdigest(bare, 42)
             h -= (h >> 63) << 64
-            if h in of:
-                if of[h] != own or h in seen:
-                    continue
+            if h in seen or gone(h):
+                continue
+            if once(h):
                 seen.add(h)
-            keep.append(line)
-        gone = len(lines) - len(keep)
-        return (b"\n".join(keep).decode() if gone else t), n, gone
+        keep.append(line)
+    left = len(lines) - len(keep)
+    return (b"\n".join(keep).decode() if left else t), n, left
+
+
+def _with_counts(docs: DataFrame, own: list[str], text: str, clean) -> DataFrame:
+    """Columns ``own`` of ``docs`` with cleaned texts and the counts; ``clean`` takes a batch and gives what ``_clean`` gives for each row."""
+    counts = ["__cf_n_lines", "__cf_n_removed"]
+    at = docs.columns.index(text)
 
     def work(batches):
         for b in batches:
-            done = [clean(t.as_py(), i.as_py()) for t, i in zip(b.column(n_text), b.column(n_id))]
-            text_, n, gone = ([x[k] for x in done] for k in range(3))
-            cols = [pa.array(text_, pa.string()) if k == n_text else b.column(k) for k in range(b.num_columns)]
-            names = [*b.schema.names, "__cf_n_lines", "__cf_n_removed"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names)
+            new, n, gone = zip(*clean(b)) if b.num_rows else ((), (), ())
+            cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(own))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*own, *counts])
+
+    fields = [docs.schema[docs.columns.index(c)] for c in own]
+    return docs.mapInArrow(work, T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in counts]]))
+
+
+def _by_broadcast(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    owner = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in found.collect()})
+    n_id, n_text = docs.columns.index(doc_id), docs.columns.index(text)
+
+    def clean(b):
+        of = owner.value
+        return [_clean(t.as_py(), lambda h, i=i.as_py(): h in of and of[h] != i, of.__contains__) for t, i in zip(b.column(n_text), b.column(n_id))]
 
-    counts = [T.StructField(c, T.LongType()) for c in ("__cf_n_lines", "__cf_n_removed")]
-    schema = T.StructType([*docs.schema.fields, *counts])
-    return docs.mapInArrow(work, schema)
+    return _with_counts(docs, docs.columns, text, clean)
 
 
 def _by_join(docs: DataFrame, found: DataFrame, lines: DataFrame, doc_id: str, text: str) -> DataFrame:
-    hit = lines.join(found, "__line")
+    """Documents meet their own boilerplate lines, by id and text hash, so rows without an id are spread by their texts."""
+    hit = lines.select("__id", "__text", "__line").distinct().join(found, "__line")
     mine = F.col("__id").eqNullSafe(F.col("__owner"))
-    pick = lambda cond: F.collect_set(F.when(cond, F.col("__line")))
-    of = hit.groupBy("__id").agg(pick(~mine).alias("__gone"), pick(mine).alias("__once"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    x = docs.join(of, F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")), "left")
-    raw = F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x: F.struct(x.alias("raw"), F.btrim(x, F.lit(SPACE)).alias("bare")))
-    x = x.select(*own, "__gone", "__once", F.transform(raw, lambda p: F.struct(p["raw"].alias("raw"), (p["bare"] != "").alias("word"), F.xxhash64(p["bare"]).alias("h"))).alias("__lines"))
-    hashes = F.transform("__lines", lambda p: F.when(p["word"], p["h"]))
-    x = x.select("*", hashes.alias("__h"))
-    first: Column = F.filter(
-        "__lines",
-        lambda p, i: ~p["word"]
-        | (~F.coalesce(F.array_contains("__gone", p["h"]), F.lit(False)) & ~(F.coalesce(F.array_contains("__once", p["h"]), F.lit(False)) & (F.array_position("__h", p["h"]) != i + 1))),
-    )
-    x = x.select(*own, "__lines", first.alias("__keep"))
-    gone = F.size("__lines") - F.size("__keep")
-    cleaned = F.when(gone > 0, F.array_join(F.transform("__keep", lambda p: p["raw"]), "\n")).otherwise(F.col(f"`{text}`"))
-    zero = lambda c: F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(c).cast("long")
-    return x.select(
-        *[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        zero(F.size(F.filter("__lines", lambda p: p["word"]))).alias("__cf_n_lines"),
-        zero(gone).alias("__cf_n_removed"),
-    )
+    pick = lambda cond: F.collect_list(F.when(cond, F.col("__line")))
+    of = hit.groupBy("__id", "__text").agg(pick(~mine).alias("__gone"), pick(mine).alias("__once")).withColumnsRenamed({"__id": "__of", "__text": "__of_text"})
+    same = (F.xxhash64(F.col(f"`{text}`")) == F.col("__of_text")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__of"))
+    x = docs.join(of, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone", "__once")
+    n_text = docs.columns.index(text)
+
+    def clean(b):
+        out = []
+        for t, gone, once in zip(b.column(n_text), b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
+            out.append(_clean(t.as_py(), set(gone.as_py() or ()).__contains__, set(once.as_py() or ()).__contains__))
+        return out
+
+    return _with_counts(x, docs.columns, text, clean)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:

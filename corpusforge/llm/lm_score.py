@@ -9,16 +9,15 @@ the rest the word's smoothed share of the corpus, both read from the filter.
 The filter is made of segments by the n-gram's hash, each built by the task that
 counts that segment, with a size by its own number of entries, so the filter grows
 with the corpus and keeps ``BITS`` bits an entry at every size. Up to
-``MAX_FILTER_BYTES`` in all it goes to the executors whole, and the exact word counts
-behind ``base_score`` in shards of at most ``VOCAB_SHARD`` words. Above, nothing is
-sent round: the distinct n-grams of each chunk of texts go to the tasks that hold
+``MAX_FILTER_BYTES`` and ``MAX_WORDS`` in all it goes to the executors whole, with the
+exact word counts behind ``base_score``. Above, nothing is sent round: the distinct n-grams of each chunk of texts go to the tasks that hold
 their segments, and the counts return to the chunk. Both ways read the same counts.
 
 Texts are counted in chunks before the shuffle, so a frequent pair is one row for
 each chunk. Words are hashed to 64 bits throughout.
 
 Defined results: null and empty texts hold one token, the end; a null id is never
-held out; repeated rows count and are scored as often as they come; without any
+held out and never learned from; repeated rows count and are scored as often as they come; without any
 training text all counts are zero (log10 of 0.1 / 0.1 for one possible token: 0); an
 empty table gives an empty result; other columns are ignored.
 """
@@ -39,8 +38,10 @@ from corpusforge.session import materialize
 
 FOLDS, HELD = 10, 0
 LAMBDA, PROBES, BITS, UNIT = 0.3, 4, 10, 1024
-SEGMENT_BITS = 12
-MAX_FILTER_BYTES, VOCAB_SHARD = 256 << 20, 16_000_000
+#: Text that a task counts the n-grams of, in bytes, and segments for each such task.
+TASK_BYTES, TASK_SEGMENTS, LEAST_SEGMENT_BITS = 10 << 20, 8, 12
+#: What goes to the executors whole: bytes of the filter, and words.
+MAX_FILTER_BYTES, MAX_WORDS = 256 << 20, 16_000_000
 CHUNK, CACHE = 1_000_000, 400_000
 #: What is collected at once holds about 2 ** PIECE_BITS bytes.
 PIECE_BITS = 22
@@ -78,6 +79,10 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
 
+def trained(doc_id) -> bool:
+    return doc_id is not None and not held_out(doc_id)
+
+
 def chunks(batches):
     """(ids, token hashes, lengths) of whole texts, about CHUNK tokens at a time; each text ends in END."""
     of = _Hashes()
@@ -143,6 +148,7 @@ class CountFilter:
     def __init__(self, sizes: np.ndarray):
         """``sizes``: bytes of each segment; a segment that is absent gets an empty unit."""
         own = np.where(sizes > 0, sizes, UNIT // 8).astype(np.int64)
+        self.top = np.uint64(65 - len(sizes).bit_length())
         self.sizes = (8 * own).astype(np.uint64)
         self.offsets = np.cumsum(own) - own
         self.data = np.zeros(int(own.sum()), np.uint8)
@@ -152,20 +158,21 @@ class CountFilter:
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Quantised counts."""
-        seg = (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+        seg = (h >> self.top).astype(np.int64)
         return MIDDLE[probe(self.data, self.offsets[seg], self.sizes[seg], h)]
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
+def count_ngrams(docs: DataFrame, segment_bits: int, tasks: int) -> DataFrame:
     """A row for each segment: filter bytes, sorted word hashes with exact counts, tokens, entries. ``docs``: id, text."""
+    top = np.uint64(64 - segment_bits)
 
     def count(batches):
         for ids, tokens, lengths in chunks(batches):
-            train = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
+            train = np.repeat(np.array([trained(i) for i in ids]), lengths)
             _, pair = pairs(tokens, lengths)
             for is_word, h in ((True, tokens[train]), (False, pair[train])):
                 u, c = np.unique(h, return_counts=True)
-                seg = (u >> np.uint64(64 - SEGMENT_BITS)).astype(np.int32)
+                seg = (u >> top).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(u.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(np.full(len(u), is_word))], ["seg", "h", "c", "word"])
 
     def total(h, c):
@@ -182,10 +189,9 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         h, c, word = (np.concatenate(x) for x in held)
         h = h.view(np.uint64)
         (wh, wc), (ph, pc) = total(h[word], c[word]), total(h[~word], c[~word])
-        top = np.uint64(64 - SEGMENT_BITS)
         segs = np.unique(np.concatenate((wh >> top, ph >> top)))
         for s in segs:
-            lo, hi = int(s) << (64 - SEGMENT_BITS), (int(s) + 1) << (64 - SEGMENT_BITS)
+            lo, hi = int(s) << int(top), (int(s) + 1) << int(top)
             cut = lambda x: slice(np.searchsorted(x, np.uint64(lo)), len(x) if hi >> 64 else np.searchsorted(x, np.uint64(hi)))
             w, p = cut(wh), cut(ph)
             bits = build_segment(np.concatenate((wh[w], ph[p])), np.concatenate((wc[w], pc[p])))
@@ -193,7 +199,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["seg", "bits", "words", "counts", "tokens", "types"])
 
     rows = docs.mapInArrow(count, "seg int, h long, c int, word boolean")
-    return rows.repartition("seg").mapInArrow(build, "seg int, bits binary, words binary, counts binary, tokens long, types long")
+    return rows.repartition(tasks, "seg").mapInArrow(build, "seg int, bits binary, words binary, counts binary, tokens long, types long")
 
 
 def _pieces(model: DataFrame, columns: list[str], lo: int, hi: int, parts: int):
@@ -204,29 +210,24 @@ def _pieces(model: DataFrame, columns: list[str], lo: int, hi: int, parts: int):
         yield from sorted(rows, key=lambda r: r[0])
 
 
-def load_filter(model: DataFrame, size: int) -> CountFilter:
-    sizes = np.zeros(1 << SEGMENT_BITS, np.int64)
+def load_filter(model: DataFrame, size: int, segment_bits: int) -> CountFilter:
+    sizes = np.zeros(1 << segment_bits, np.int64)
     for seg, n in model.select("seg", F.length("bits")).collect():
         sizes[seg] = n
     out = CountFilter(sizes)
-    for seg, bits in _pieces(model, ["bits"], 0, 1 << SEGMENT_BITS, max(1, size >> PIECE_BITS)):
+    for seg, bits in _pieces(model, ["bits"], 0, 1 << segment_bits, max(1, size >> PIECE_BITS)):
         out.put(seg, np.frombuffer(bits, np.uint8))
     return out
 
 
-def vocab_shards(model: DataFrame, types: int, tokens: int):
-    """(word hashes, counts), sorted, in shards of at most about VOCAB_SHARD words."""
-    n = max(1, -(-types // VOCAB_SHARD))
-    kind = np.uint32 if tokens < 1 << 32 else np.int64
-    for k in range(n):
-        lo, hi = (k << SEGMENT_BITS) // n, ((k + 1) << SEGMENT_BITS) // n
-        own = int(model.filter((F.col("seg") >= lo) & (F.col("seg") < hi)).agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0])
-        words, counts, at = np.empty(own, np.uint64), np.empty(own, kind), 0
-        for _, w, c in _pieces(model, ["words", "counts"], lo, hi, max(1, 16 * own >> PIECE_BITS)):
-            w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
-            words[at : at + len(w)], counts[at : at + len(w)] = w, c
-            at += len(w)
-        yield words, counts
+def load_words(model: DataFrame, types: int, tokens: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted word hashes and their counts."""
+    words, counts, at = np.empty(types, np.uint64), np.empty(types, np.uint32 if tokens < 1 << 32 else np.int64), 0
+    for _, w, c in _pieces(model, ["words", "counts"], 0, 1 << segment_bits, max(1, 16 * types >> PIECE_BITS)):
+        w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
+        words[at : at + len(w)], counts[at : at + len(w)] = w, c
+        at += len(w)
+    return words, counts
 
 
 def token_scores(own: np.ndarray, together: np.ndarray, lengths: np.ndarray, whole: float) -> np.ndarray:
@@ -241,14 +242,14 @@ def token_scores(own: np.ndarray, together: np.ndarray, lengths: np.ndarray, who
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
-def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str) -> DataFrame:
+def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str, segment_bits: int) -> DataFrame:
     """Texts scored by joining the n-grams of their chunks with the segments of the model.
 
     A chunk's n-grams are sorted by hash, so those of a segment are a slice, and the
     slices' counts laid end to end in the order of the segments are the chunk's.
     """
     id_type, ids_type = slim.schema["id"].dataType.simpleString(), to_arrow_type(slim.schema["id"].dataType)
-    top = np.uint64(64 - SEGMENT_BITS)
+    top = np.uint64(64 - segment_bits)
     fields = ["key", "kind", "seg", "h", "id", "word", "pair"]
 
     def ask(batches):
@@ -315,7 +316,7 @@ def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str) ->
                 ids.append(i.as_py()), rows.append((len(word), int((c > 0).sum()), base, float(token_scores(found[0][word], found[1][pair], n, whole)[0])))
             if ids:
                 n, known, base, score = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.nulls(len(ids), pa.string()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["id", "text", "n_tokens", "n_known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["id", "n_tokens", "n_known", "base", "score"])
 
     # Written once: keys and slices are those of one run of each task.
     asked = materialize(slim.mapInArrow(ask, f"key long, kind int, seg int, h binary, id {id_type}, word binary, pair binary"), "asked")
@@ -331,53 +332,43 @@ def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str) ->
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    model = materialize(count_ngrams(slim), "ngrams")
+    tasks = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
+    segment_bits = max(LEAST_SEGMENT_BITS, (TASK_SEGMENTS * tasks - 1).bit_length())
+    model = materialize(count_ngrams(slim, segment_bits, tasks), "ngrams")
     sums = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
     n_train, n_types, size = (int(x) for x in sums)
     whole = n_train + 0.1 * (n_types + 1)
     id_type = slim.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, text string, n_tokens long, n_known long, base double, score double"
-    out = _by_segment(slim, model, whole, schema) if size > MAX_FILTER_BYTES else _by_broadcast(slim, model, size, n_types, n_train, whole, schema)
+    schema = f"id {id_type}, n_tokens long, n_known long, base double, score double"
+    if size > MAX_FILTER_BYTES or n_types > MAX_WORDS:
+        out = _by_segment(slim, model, whole, schema, segment_bits)
+    else:
+        sc = docs.sparkSession.sparkContext
+        out = _by_broadcast(slim, sc.broadcast(load_filter(model, size, segment_bits)), sc.broadcast(load_words(model, n_types, n_train, segment_bits)), whole, schema)
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)) == HELD, F.lit(False))
     return out.select(F.col("id").alias(doc_id), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _by_broadcast(slim: DataFrame, model: DataFrame, size: int, n_types: int, n_train: int, whole: float, schema: str) -> DataFrame:
-    """Texts scored against the whole filter, and shards of the vocabulary, on each executor."""
-    sc = slim.sparkSession.sparkContext
-    grams = sc.broadcast(load_filter(model, size))
-    out = slim.select("id", "text", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
-    for k, vocab in enumerate(vocab_shards(model, n_types, n_train)):
-        words = sc.broadcast(vocab)
-
-        def work(batches, words=words, first=k == 0):
-            known_words, known_counts = words.value
-            per = lambda x, starts: np.add.reduceat(x, starts)
-            for b in batches:
-                done = []
-                for ids, tokens, lengths in chunks([b]):
-                    starts = np.cumsum(lengths) - lengths
-                    u, inv = np.unique(tokens, return_inverse=True)
-                    at = np.minimum(np.searchsorted(known_words, u), max(len(known_words) - 1, 0))
-                    found = known_words[at] == u if len(known_words) else np.zeros(len(u), bool)
-                    c = np.where(found, known_counts[at], 0).astype(np.float64) if len(known_words) else np.zeros(len(u))
-                    # A shard adds what its words are worth above an unknown word.
-                    base = per((np.log10(c + 0.1) - np.log10(0.1))[inv], starts)
-                    if first:
-                        base = base + lengths * np.log10(0.1 / whole)
-                        _, pair = pairs(tokens, lengths)
-                        up, pinv = np.unique(pair, return_inverse=True)
-                        score = token_scores(grams.value.counts(u)[inv], grams.value.counts(up)[pinv], lengths, whole)
-                    else:
-                        score = np.zeros(len(lengths))
-                    done.append((lengths, per(found[inv].astype(np.int64), starts), base, score))
-                if done:
-                    n, known, base, score = (np.concatenate([d[j] for d in done]) for j in range(4))
-                    old = [b.column(j).to_numpy() for j in range(2, 6)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(old[1] + known), pa.array(old[2] + base), pa.array(old[3] + score)], b.schema.names)
-
-        out = out.mapInArrow(work, schema)
-    return out
+def _by_broadcast(slim: DataFrame, grams, words, whole: float, schema: str) -> DataFrame:
+    """Texts scored against the whole filter and the words with their counts, both on each executor."""
+    id_type = to_arrow_type(slim.schema["id"].dataType)
+
+    def work(batches):
+        known, known_counts = words.value
+        for ids, tokens, lengths in chunks(batches):
+            starts = np.cumsum(lengths) - lengths
+            u, inv = np.unique(tokens, return_inverse=True)
+            c = np.zeros(len(u), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                c = np.where(known[at] == u, known_counts[at], 0).astype(np.int64)
+            base = np.add.reduceat((np.log10(c + 0.1) - np.log10(0.1))[inv], starts) + lengths * np.log10(0.1 / whole)
+            up, pinv = np.unique(pairs(tokens, lengths)[1], return_inverse=True)
+            score = token_scores(grams.value.counts(u)[inv], grams.value.counts(up)[pinv], lengths, whole)
+            n_known = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base", "score"])
+
+    return slim.mapInArrow(work, schema)
 
 
 def op2_lm_score(spark, sf_dir):
