@@ -3,9 +3,9 @@
 Patterns find assigned secrets, access keys and long hex runs. The entropy method
 adds candidate strings (runs of 20 or more token characters with a digit) in which
 some window of ``WINDOW`` characters reaches the entropy that its character class
-asks for. The window slides with incremental counts: each step changes the counts of
+asks for. The window slides with incremental counts: each step changes the count of
 the character that enters and of the one that leaves, and with them the sum of
-c*log2(c). An allow-list suppresses placeholders, and only those the method adds.
+c*log2(c), so the time is linear in a candidate's length. An allow-list suppresses placeholders, and only those the method adds.
 
 Only DataFrame functions are used, and no shuffle: a text is scanned where it is
 read, whole. Positions are code points, ends exclusive.
@@ -30,43 +30,78 @@ HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z+/_=-]*+[0-9]){TOKEN}{{20,}}+"
-WINDOW = 20
+WINDOW, BLOCK = 20, 512
 #: Least entropy, in bits, of some window, by character class: the first class that holds the whole candidate.
 CLASSES = ((r"^[0-9]+$", 3.1), (r"^[0-9a-fA-F-]+$", 3.0), (r"^[A-Z0-9=]+$", 3.6), (r"^[a-z0-9_-]+$", 3.7), (r"^.*$", 3.8))
 ALLOW = r"(?i)example|sample|placeholder|dummy|changeme|your[_-]|x{6}|0{8}|(?:0123|1234)567|abcdefg"
 
 
+def once(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _positions(gaps: Column, hits: Column) -> Column:
-    """[(start, end)] of the hits, from what lies between them."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    """[(start, end)] of the hits, from what lies between them, in blocks, as an array is copied whenever it grows."""
+    size = F.size(hits)
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK))
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), size), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    spans = "array<struct<s:int,e:int>>"
+
+    def within(block: Column, at: Column) -> Column:
+        zero = F.struct(at.cast("int").alias("at"), F.array().cast(spans).alias("out"))
+
+        def step(a, x):
+            e = (a["at"] + x["g"] + x["h"]).cast("int")
+            return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).cast("int").alias("s"), e.alias("e")))).alias("out"))
+
+        return F.aggregate(block, zero, step, lambda a: a["out"])
+
+    def whole(x: Column) -> Column:
+        blocks = F.transform(starts, lambda i: F.slice(x, i + 1, F.lit(BLOCK)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out"))
 
-    def step(a, i):
-        s = (a["at"] + F.length(F.get(gaps, i))).cast("int")
-        e = (s + F.length(F.get(hits, i))).cast("int")
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
+        def step(a, block):
+            own = within(block, a["at"])
+            end = F.aggregate(block, a["at"], lambda n, y: (n + y["g"] + y["h"]).cast("int"))
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(own)).alias("out"))
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a["out"]))
+        return F.flatten(F.aggregate(blocks, zero, step, lambda a: a["out"]))
+
+    return F.when(size > 0, once(lengths, whole))
 
 
 def max_window_entropy(s: Column) -> Column:
-    """Largest entropy of a window of WINDOW characters of ``s`` (ALPHABET only, at least WINDOW long)."""
+    """Largest entropy of a window of WINDOW characters of ``s`` (ALPHABET only, at least WINDOW long).
+
+    The counts are a string, a letter for each character of ALPHABET: its code is the
+    count above that of ``0``. A step overlays the letter of the character that enters
+    and that of the one that leaves.
+    """
     f = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
     table = F.array(*[F.lit(x) for x in f])
-    at = lambda i: (F.position(F.substr(s, i, F.lit(1)), F.lit(ALPHABET)) - 1).cast("int")
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("c"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
-
-    def step(a, i):
-        new, old = at(i), F.when(i > WINDOW, at(i - WINDOW)).otherwise(F.lit(-1))
-        # The character that enters and the one that leaves can be the same: then nothing changes.
-        same = new == old
-        up, down = F.get(a["c"], new), F.when(old >= 0, F.get(a["c"], old)).otherwise(F.lit(0))
-        more = F.get(table, up + 1) - F.get(table, up)
-        less = F.when(old >= 0, F.get(table, F.greatest(down - 1, F.lit(0))) - F.get(table, down)).otherwise(F.lit(0.0))
-        total = a["sum"] + F.when(same, F.lit(0.0)).otherwise(more + less)
-        counts = F.when(same, a["c"]).otherwise(F.transform(a["c"], lambda c, j: c + (j == new).cast("int") - (j == old).cast("int")))
-        return F.struct(counts.alias("c"), total.alias("sum"), F.when(i >= WINDOW, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda a: F.lit(math.log2(WINDOW)) - a["least"] / WINDOW)
+    letters = F.array(*[F.lit(chr(48 + c)) for c in range(WINDOW + 2)])
+    zero = F.struct(F.lit("0" * len(ALPHABET)).alias("c"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+
+    def step(chars):
+        def next_(a, i):
+            new, old = F.get(chars, i), F.when(i >= WINDOW, F.get(chars, i - WINDOW))
+            count = lambda c, p: F.ascii(F.substring(c, p, F.lit(1))) - 48
+            put = lambda c, p, n: F.overlay(c, F.get(letters, n), p)
+            up, down = count(a["c"], new), count(a["c"], old)
+            more = F.get(table, up + 1) - F.get(table, up)
+            less = F.get(table, down - 1) - F.get(table, down)
+            # The character that enters and the one that leaves can be the same: then nothing changes.
+            total = F.when(old.isNull(), a["sum"] + more).when(new == old, a["sum"]).otherwise(a["sum"] + more + less)
+            entered = put(a["c"], new, up + 1)
+            counts = F.when(old.isNull(), entered).when(new == old, a["c"]).otherwise(put(entered, old, down - 1))
+            return F.struct(counts.alias("c"), total.alias("sum"), F.when(i >= WINDOW - 1, F.least(a["least"], total)).otherwise(a["least"]).alias("least"))
+
+        return next_
+
+    place = lambda c: F.position(c, F.lit(ALPHABET)).cast("int")
+    slide = lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), zero, step(chars), lambda a: F.lit(math.log2(WINDOW)) - a["least"] / WINDOW)
+    return once(F.transform(F.filter(F.split(s, "", -1), lambda c: c != ""), place), slide)
 
 
 def is_random(s: Column) -> Column:
@@ -112,8 +147,10 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def spans(k: str) -> Column:
-        at = F.transform(f"__cf_at_{k}", lambda p: F.struct(p["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), p["e"].alias("e")))
-        return F.coalesce(F.filter(at, lambda p, i: F.get(F.col(f"__cf_ok_{k}"), i)), F.array().cast("array<struct<s:int,k:int,e:int>>"))
+        # Zipped, not looked up: a column that a lambda names once is worked out anew for each element.
+        at = F.zip_with(f"__cf_at_{k}", f"__cf_ok_{k}", lambda p, ok: F.struct(p["s"].alias("s"), F.lit(KINDS.index(k)).alias("k"), p["e"].alias("e"), ok.alias("ok")))
+        hit = F.transform(F.filter(at, lambda p: p["ok"]), lambda p: F.struct(p["s"], p["k"], p["e"]))
+        return F.coalesce(hit, F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
     found = x.select(*own, F.sort_array(F.concat(*[spans(k) for k in KINDS[:3]])).alias("__cf_base"), spans("entropy").alias("__cf_random"))
     free = lambda r: ~F.exists("__cf_base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))

@@ -270,6 +270,25 @@ def test_op3_base_spans_stay_and_entropy_adds(spark, hard, hard_rows):
     assert added
 
 
+def test_op3_long_candidates_and_many_hits(spark):
+    """A million characters of one candidate, and thousands of hits in one text, take seconds and give the plain spans."""
+    import time
+
+    r = random.Random(6)
+    key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    flat = "xy1" * 300_000
+    many = " é ".join(f"password={i:08}x and AKIA{'B' * 12}{i:05}" for i in range(5_000))
+    docs = spark.createDataFrame([(1, key), (2, flat), (3, many), (4, "1" + "a" * 19), (5, key[:25])], "doc_id long, text string")
+    from corpusforge.llm.secret_scan import KINDS, with_spans
+
+    began = time.time()
+    got = {x["doc_id"]: [(p["s"], p["k"], p["e"]) for p in x["__cf_spans"]] for x in with_spans(docs).collect()}
+    took = time.time() - began
+    assert got[1] == [(0, KINDS.index("entropy"), len(key))] and got[2] == [] and got[4] == []
+    assert got[3] == base_spans(many) and len(got[3]) == 10_000
+    assert took < 90, took
+
+
 # 5 ------------------------------------------------------------------------------
 
 
@@ -434,7 +453,7 @@ def test_op8_held_out_accuracy(spark):
     at = "/root/testdata/sf0.1"
     got = run(spark, "op8_quality_classifier", at)
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
-    assert Counter(r["doc_id"] for r in got) == Counter(docs)
+    assert Counter(r["doc_id"] for r in got) == Counter(list(docs))
     labels = spark.read.parquet(f"{at}/labels.parquet")
     label = {r["doc_id"]: r["quality"] for r in labels.collect()}
     for r in got:
