@@ -4,7 +4,7 @@ The operator of ``simhash`` with the parameters that a stage on word shingles ta
 five words and a Jaccard similarity of ``SIMILARITY`` or more. At that similarity two
 64-bit fingerprints differ in about ten bits and unrelated ones in 32, which is too
 little room, so a fingerprint here has 128 bits, and near texts differ in ``RADIUS``
-at most (99.7 % of pairs at 0.8, nearly all above).
+at most (98.7 % of pairs at 0.8, nearly all above).
 
 A fingerprint is embedded as the bit counts of its 64 two-bit segments, whose Manhattan
 distance never exceeds the Hamming distance. A grid fixes the counts of some segments;
@@ -16,8 +16,10 @@ probability, a closer one more often (0.99 at 0.85, 0.998 at 0.9).
 
 Texts with one shingle set are one node. A cell with few close pairs gives them all; a
 dense one gives each node's nearest neighbour, and then, when those are verified and
-joined, only pairs that are still apart. So a group of near copies makes rows in
-proportion to its members, and a pair is left out only if its texts are joined already.
+joined, only pairs that are still apart and whose similarity can reach the threshold, as
+far as the shingles tell that no other text of a dense cell has. So a group of near copies
+makes rows in proportion to its members, and a pair is left out only if its texts are
+joined already or cannot be near.
 
 Defined results: null and empty texts are one text without words, near to each other;
 a null id comes after all others, so it survives only if its group has no other; null or
@@ -39,13 +41,13 @@ from corpusforge.llm.graph import components
 from corpusforge.llm.simhash import embed, whole_cells
 from corpusforge.session import discard, materialize
 
-SHINGLE, SIMILARITY, SEED, RADIUS = 5, 0.8, 42, 30
+SHINGLE, SIMILARITY, SEED, RADIUS = 5, 0.8, 42, 28
 CELL, RECALL, LEAST_FIXED = 8192, 0.96, 8
 #: Chance that a two-bit segment's count is the same: for a pair at the threshold, and for unrelated texts.
 APART = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 SAME_NEAR, SAME_FAR = (1 - APART) ** 2 + APART**2 / 2, 0.375
 #: Cells up to SMALL are compared at once; above WIDE a dense cell links neighbours in sort order first.
-SMALL, WIDE, FEW = 24, 32_768, 4
+SMALL, WIDE, FEW = 24, 32_768, 1
 BLOCK = 1 << 21
 
 
@@ -188,8 +190,12 @@ def _first_round(key, node, f0, f1):
     return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none, *dense])
 
 
-def _second_round(key, node, f0, f1, root):
-    """Of whole dense cells: pairs of nodes within the radius that are not joined yet."""
+def _second_round(key, node, f0, f1, root, size, shared):
+    """Of whole dense cells: pairs of nodes within the radius that are not joined yet and can be similar.
+
+    Two sets of ``size`` shingles have no more in common than either one has ``shared``
+    with any other text.
+    """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, e in zip(starts, [*starts[1:], len(key)]):
@@ -200,7 +206,11 @@ def _second_round(key, node, f0, f1, root):
         for k in range(0, len(rest), step):
             rows = rest[k : k + step]
             i, j = np.nonzero((p.rows(rows) <= RADIUS) & (own[rows][:, None] != own[None, :]))
-            a.append(node[s + rows[i]]), b.append(node[s + j])
+            i = s + rows[i]
+            j = s + j
+            most = np.minimum(shared[i], shared[j])
+            can = most >= SIMILARITY * (size[i] + size[j] - most)
+            a.append(node[i[can]]), b.append(node[j[can]])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -240,16 +250,35 @@ def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFram
     return pairs, found.filter("key IS NOT NULL").select("key", "node", "f0", "f1"), found
 
 
-def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of dense cells that are within the radius, not joined by ``roots`` (node, root) and not ``tested``."""
+def shared_counts(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, size, shared): of each text of a dense cell, its shingles, and those that another text of a dense cell has."""
+    own = sets.join(dense.select("node").distinct(), "node", "left_semi")
+
+    def spread(batches):
+        for b in batches:
+            for node, x in zip(b.column(0).to_numpy(), b.column(1)):
+                h = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node))], ["h", "node"])
+
+    alone = own.mapInArrow(spread, "h long, node long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    size = (F.length("own") / 8).cast("long")
+    return own.select("node", size.alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of dense cells that are within the radius, not joined by ``roots`` (node, root), not ``tested`` and can be similar."""
 
     def join(batches):
-        for key, node, f0, f1, root in whole_cells(batches):
-            ab = _ordered(*_second_round(key, node, f0.view(np.uint64), f1.view(np.uint64), root))
+        for cols in whole_cells(batches):
+            key, node, f0, f1, root, size, shared = cols
+            ab = _ordered(*_second_round(key, node, f0.view(np.uint64), f1.view(np.uint64), root, size, shared))
             if len(ab):
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-    x = dense.join(roots, "node", "left").select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
+    # A text that no first pair names is near no other; it has no set and goes here.
+    x = dense.join(materialize(shared_counts(dense, sets), "shared"), "node").join(roots, "node", "left")
+    x = x.select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"), "size", "shared")
     pairs = x.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -309,7 +338,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = materialize(verified(pairs, sets), "links")
     roots = components(links)
-    more = materialize(still_apart(dense, roots, pairs), "apart")
+    more = materialize(still_apart(dense, roots, pairs, sets), "apart")
     if not more.isEmpty():
         again = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)), "links")
         discard(roots)
