@@ -33,10 +33,6 @@ def fold_quotes(c: Column) -> Column:
     return F.translate(c, QUOTES_FROM, QUOTES_TO)
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
-
-
 def collapse_whitespace(c: Column) -> Column:
     """One space for each run of horizontal space, one blank line for more; lines and the whole are stripped.
 

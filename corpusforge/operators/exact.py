@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.functions.text import WS, casefold
+from corpusforge.session import materialize
 
 LEVELS = ("raw", "normalized", "structural")
 _PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{WS}]"
@@ -45,15 +46,16 @@ def blake2b_128(s: pd.Series) -> pd.Series:
 def mark_exact(df: DataFrame, text: str = "text", ord_: str = "ord", key: str | None = None, level: str = "normalized") -> DataFrame:
     """Adds ``signature``, ``is_duplicate``, ``first_ord`` and ``first_key``.
 
-    The winners are an aggregate with partial results for each hash, so a hash that a
-    third of the rows share is one small row; the join back is on the small side.
+    Texts are normalized and hashed once; ordinals and hashes are written. The winners
+    are an aggregate with partial results for each hash, so a hash that a third of the
+    rows share is one small row. ``ord_`` names a row, and texts join their row's result.
     """
     key = key or ord_
-    x = df.withColumn("signature", signature(F.col(text), level))
-    first = x.groupBy("signature").agg(F.min(F.struct(F.col(ord_).alias("o"), F.col(key).alias("k"))).alias("__first"))
-    x = x.join(first, "signature")
-    out = x.withColumns({"is_duplicate": F.col(ord_) != F.col("__first.o"), "first_ord": F.col("__first.o"), "first_key": F.col("__first.k")})
-    return out.select(*df.columns, "signature", "is_duplicate", "first_ord", "first_key")
+    x = df.select(F.col(ord_).alias("o"), F.col(key).alias("k"), signature(F.col(text), level).alias("signature"))
+    x = materialize(x, "signed")
+    first = x.groupBy("signature").agg(F.min(F.struct("o", "k")).alias("f"))
+    marked = x.join(first, "signature").select(F.col("o").alias(ord_), "signature", (F.col("o") != F.col("f.o")).alias("is_duplicate"), F.col("f.o").alias("first_ord"), F.col("f.k").alias("first_key"))
+    return df.join(marked, ord_).select(*df.columns, "signature", "is_duplicate", "first_ord", "first_key")
 
 
 def duplicate_classes(df: DataFrame, text: str = "text", ord_: str = "ord", level: str = "normalized") -> DataFrame:

@@ -133,12 +133,12 @@ def stats(decided: DataFrame) -> dict:
 
 
 def render(s: dict) -> str:
-    """The run's counts as text."""
-    out = [f"seen        {s['seen']}", f"kept        {s['kept']}  ({(s['kept'] / s['seen'] if s['seen'] else 0):.1%})", f"dropped     {s['dropped']}", f"malformed   {s['malformed']}"]
-    out += [f"  {k.replace('_', ' '):<16} {v}" for k, v in s["dropped_by_stage"].items()]
-    if s["quality_failures"]:
-        out += ["rule failures (a document can fail several):", *[f"  {k:<28} {v}" for k, v in s["quality_failures"].items()]]
-    return "\n".join(out)
+    """The run's counts as text: a table of the stages' outcomes, then one of the rules."""
+    share = lambda n: f"{100 * n / s['seen']:.1f} %" if s["seen"] else "-"
+    fates = [("records seen", s["seen"]), ("malformed", s["malformed"]), *((f"dropped: {k}", n) for k, n in s["dropped_by_stage"].items()), ("dropped in all", s["dropped"]), ("kept", s["kept"])]
+    lines = [f"{name:<28}{n:>12}{share(n):>10}" for name, n in fates]
+    rules = [f"{name:<28}{n:>12}" for name, n in s["quality_failures"].items()]
+    return "\n".join([*lines, *(["", "documents that fail a rule", *rules] if rules else [])])
 
 
 def report_json(quality: dict) -> dict:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import sys
-import tempfile
+import uuid
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from corpusforge.session import shared_dir
 
 RECORD = "url string, text string, html string, title string, language string, crawled_at string, quality string, signatures string, embedding array<double>, meta string"
 _FIELDS = ("url", "text", "html", "title", "language", "crawled_at", "quality", "signatures", "embedding", "meta")
@@ -61,19 +65,32 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(ord, value): lines of a text file with their 1-based number in the input.
 
-    File, then place in the file: partitions of a text scan are in file order, so their
-    sizes are all that is counted before the numbers are given.
+    Files go by path, and the blocks that a file is read in by offset. A block's rows are
+    read in turn, so row ids tell the place in the block; only the blocks' sizes are
+    summed before the numbers are given, and no line leaves the JVM.
     """
-    rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rdd, "ord long, value string")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset")]
+    rows = spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("row"))
+    blocks = rows.groupBy("file", "offset").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(W.orderBy("file", "offset")) - F.col("n")
+    return rows.join(blocks.withColumn("ahead", ahead), ["file", "offset"]).select((F.col("ahead") + F.col("row") - F.col("first") + 1).alias("ord"), "value")
+
+
+def spool(spark: SparkSession, lines) -> str:
+    """Lines written to a file in the shared folder, where all executors can read them; its path."""
+    path = f"{shared_dir(spark)}/corpusforge/stdin-{uuid.uuid4().hex}.jsonl"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p)
+    for part in iter(lambda: list(islice(lines, 4096)), []):
+        out.write("".join(part).encode())
+    out.close()
+    return path
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSONL file (``-``: standard input) with ``ord`` and ``malformed``."""
     if path == "-":
-        with tempfile.NamedTemporaryFile("w", suffix=".jsonl", delete=False, encoding="utf-8") as f:
-            f.writelines(sys.stdin)
-        path = f.name
+        path = spool(spark, sys.stdin)
     return parse_lines(numbered_lines(spark, path))
 
 
