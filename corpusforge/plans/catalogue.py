@@ -6,6 +6,8 @@ read ``variants``: every document, changed in a way that depends on its id.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,7 +17,7 @@ from corpusforge.functions import script as S
 from corpusforge.functions import text as X
 from corpusforge.operators import batching, exact, extract, listings, minhash
 from corpusforge.plans import pipeline as P
-from corpusforge.session import materialize, table
+from corpusforge.session import materialize, shared_dir, table
 from corpusforge.sources import records, shards
 
 QUERIES: dict = {}
@@ -430,10 +432,19 @@ ORACLE_SQL["block_scores"] = f"SELECT doc_id, CAST(k AS BIGINT) AS k, CAST(score
 def best_run(spark, sf_dir):
     """The best run over whole line lengths, so that sums are exact in any engine."""
     x = _lines(table(spark, sf_dir, "documents")).select("doc_id", F.transform("lines", lambda s: F.length(s).cast("double")).alias("scores"))
-    x = x.select("doc_id", extract.best_run_native(F.transform("scores", lambda s: s)).alias("r"))
+    x = x.select("doc_id", extract.best_run_native(F.col("scores")).alias("r"))
     return x.select("doc_id", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("stop"))
 
 
+#: Every run of every document; sums times twice the number of lines, which are whole.
+ORACLE_SQL["best_run"] = f"""WITH l AS (SELECT doc_id, generate_subscripts({_LINES}, 1) - 1 AS k, length(unnest({_LINES})) AS n FROM documents),
+  w AS (SELECT doc_id, k, 2 * n * count(*) OVER d - sum(n) OVER d AS w FROM l WINDOW d AS (PARTITION BY doc_id)),
+  p AS MATERIALIZED (SELECT doc_id, k, w, sum(w) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w),
+  r AS (SELECT e.doc_id, s.k AS start, e.k + 1 AS stop, e.upto - s.upto + s.w AS gain FROM p e JOIN p s ON s.doc_id = e.doc_id AND s.k <= e.k)
+  SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, stop, start DESC) AS nth FROM r) WHERE nth = 1
+  UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE len({_LINES}) = 0"""
+
+
 # Pipeline -----------------------------------------------------------------------
 
 
@@ -445,13 +456,10 @@ def pipeline_decisions(spark, sf_dir):
 
 @query
 def pipeline_stats(spark, sf_dir):
-    return P.stage_counts(P.decide(P.prepare(documents(spark, sf_dir)), P.PipelineConfig(run_near_dedup=False, adapt_to_script=False)))
+    return P.stage_counts(P.decide(P.prepare(documents(spark, sf_dir))))
 
 
 _PLAIN = NORMAL_SQL.replace(VARIANT_SQL, "documents")
-ORACLE_SQL["pipeline_stats"] = f"""SELECT stage, count(*) AS n FROM (SELECT doc_id, CASE WHEN text = '' THEN 'empty'
-  WHEN doc_id <> min(CASE WHEN text <> '' THEN doc_id END) OVER (PARTITION BY md5({_comparable_sql('normalized')})) THEN 'exact_duplicate'
-  WHEN {_failures(False)} <> '' THEN 'quality' ELSE 'kept' END AS stage FROM {MEASURES_SQL.replace(NORMAL_SQL, _PLAIN)}) GROUP BY stage"""
 
 
 _JUDGED = f"""(SELECT doc_id, text, {_failures(True)} AS failures FROM (SELECT *, {_SPACED} AS spaced
@@ -461,6 +469,7 @@ ORACLE_SQL["pipeline_decisions"] = f"""WITH RECURSIVE base AS MATERIALIZED (SELE
   good AS MATERIALIZED (SELECT doc_id, text FROM base WHERE first_ord = doc_id AND failures = ''), {_greedy_ctes('good')}
   SELECT doc_id, CASE WHEN text = '' THEN 'empty' WHEN first_ord <> doc_id THEN 'exact_duplicate' WHEN failures <> '' THEN 'quality'
     WHEN is_duplicate THEN 'near_duplicate' ELSE 'kept' END AS stage, first_ord, matched_ord, similarity FROM base LEFT JOIN near USING (doc_id)"""
+ORACLE_SQL["pipeline_stats"] = f"SELECT stage, count(*) AS n FROM ({ORACLE_SQL['pipeline_decisions']}) GROUP BY stage"
 
 
 @query
@@ -520,6 +529,48 @@ def shard_sizes(spark, sf_dir):
 ORACLE_SQL["shard_sizes"] = "SELECT position // 64 AS shard, count(*) AS records FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) GROUP BY 1"
 
 
+def _sink(spark, kind: str) -> str:
+    return f"{shared_dir(spark)}/corpusforge/{kind}-{uuid.uuid4().hex}"
+
+
+@query
+def jsonl_round_trip(spark, sf_dir):
+    """Documents written as JSON lines in shards and read again by the manifest, with their places."""
+    at = _sink(spark, "jsonl")
+    shards.write_jsonl_shards(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "doc_id", "text"), at, 64)
+    x = shards.read_shards(spark, at).select("position", F.from_json("value", "doc_id long, text string").alias("r"))
+    return x.select("position", "r.doc_id", "r.text")
+
+
+ORACLE_SQL["jsonl_round_trip"] = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, text FROM documents"
+
+
+@query
+def parquet_round_trip(spark, sf_dir):
+    """Documents written as Parquet in shards and read again, each with its shard's name and what the manifest says of it."""
+    at = _sink(spark, "parquet")
+    manifest = shards.write_parquet_shards(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "doc_id", "lang"), at, 64)
+    listed = spark.createDataFrame([(x["path"], x["records"]) for x in manifest["shards"]], "path string, records long")
+    rows = spark.read.parquet(*[f"{at}/{x['path']}" for x in manifest["shards"]]).select("doc_id", "lang", F.col("_metadata.file_name").alias("path"))
+    return rows.join(listed, "path")
+
+
+ORACLE_SQL["parquet_round_trip"] = """SELECT doc_id, lang, path, count(*) OVER (PARTITION BY path) AS records FROM
+  (SELECT doc_id, lang, 'shard-' || lpad(CAST((row_number() OVER (ORDER BY doc_id) - 1) // 64 AS VARCHAR), 5, '0') || '.parquet' AS path FROM documents)"""
+
+
+@query
+def numbered_scan(spark, sf_dir):
+    """Lines of a text file with their numbers: those of the JSON lines that the documents make, read as text."""
+    at = _sink(spark, "lines")
+    text = table(spark, sf_dir, "documents").orderBy("doc_id").select(F.concat(F.lit("u"), "doc_id", F.lit(" "), "n_chars").alias("value"))
+    text.repartitionByRange(1, "value").sortWithinPartitions(F.regexp_extract("value", "[0-9]+", 0).cast("long")).write.text(at)
+    return records.numbered_lines(spark, at)
+
+
+ORACLE_SQL["numbered_scan"] = "SELECT row_number() OVER (ORDER BY doc_id) AS ord, 'u' || doc_id || ' ' || n_chars AS value FROM documents"
+
+
 @query
 def malformed_accounting(spark, sf_dir):
     """JSON lines made from the documents, with faults put in, through the strict scan."""
@@ -602,13 +653,25 @@ def _listed(spark, sf_dir) -> DataFrame:
 _LISTED = "(SELECT 'u' || o_custkey AS url, CAST(max(o_orderdate) AS DATE) AS date_last_seen FROM orders GROUP BY o_custkey)"
 
 
+def _links(spark, sf_dir, new: bool) -> DataFrame:
+    """Links of the events, with query strings, of which the suppliers' are listed already."""
+    links = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id", F.lit("?from="), "event_type").alias("url"))
+    listed = table(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), "s_suppkey").alias("url"))
+    return listings.split_seen(links, listed)[new].distinct()
+
+
 @query
 def visited_antijoin(spark, sf_dir):
-    _, new = listings.split_seen(_history(spark, sf_dir).select("url").distinct(), _listed(spark, sf_dir))
-    return new
+    return _links(spark, sf_dir, True)
 
 
-ORACLE_SQL["visited_antijoin"] = f"SELECT DISTINCT url FROM {_HIST} WHERE url NOT IN (SELECT url FROM {_LISTED})"
+@query
+def visited_known(spark, sf_dir):
+    return _links(spark, sf_dir, False)
+
+
+ORACLE_SQL["visited_antijoin"] = "SELECT DISTINCT 'u' || user_id AS url FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)"
+ORACLE_SQL["visited_known"] = "SELECT DISTINCT 'u' || user_id AS url FROM events WHERE user_id IN (SELECT s_suppkey FROM supplier)"
 
 
 @query
@@ -622,10 +685,25 @@ ORACLE_SQL["touch_last_seen"] = f"SELECT url, CAST(CASE WHEN url IN (SELECT url
 
 @query
 def recheck_due(spark, sf_dir):
-    return listings.due_for_check(_listed(spark, sf_dir), F.expr(_DAY), 700)
+    """Each order as a listing seen on its date; some were seen seven days before, which is out."""
+    seen = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("url"), F.col("o_orderdate").cast("date").alias("date_last_seen"))
+    return listings.due_for_check(seen, F.expr(_DAY))
 
 
-ORACLE_SQL["recheck_due"] = f"SELECT url FROM {_LISTED} WHERE date_last_seen > {_DAY} - INTERVAL 700 DAY"
+ORACLE_SQL["recheck_due"] = f"SELECT 'o' || o_orderkey AS url FROM orders WHERE CAST(o_orderdate AS DATE) > {_DAY} - INTERVAL 7 DAY"
+
+
+@query
+def listing_insert(spark, sf_dir):
+    """Rows that new items add to the listings and to the prices, in one table."""
+    items = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("url"), F.floor("p_retailprice").cast("long").alias("price_chf"))
+    rows, prices = listings.insert_listings(items, F.expr(_DAY))
+    rows = rows.select(F.lit("listing").alias("kind"), "url", "price_chf", F.col("date_scraped").cast("string").alias("scraped"), F.col("date_last_seen").cast("string").alias("date"))
+    return rows.unionByName(prices.select(F.lit("price").alias("kind"), "url", "price_chf", F.lit(None).cast("string").alias("scraped"), F.col("date").cast("string").alias("date")))
+
+
+ORACLE_SQL["listing_insert"] = f"""SELECT kind, 'p' || p_partkey AS url, CAST(floor(p_retailprice) AS BIGINT) AS price_chf,
+  CASE WHEN kind = 'listing' THEN CAST({_DAY} AS VARCHAR) END AS scraped, CAST({_DAY} AS VARCHAR) AS date FROM part, (VALUES ('listing'), ('price')) AS k(kind)"""
 
 
 @query
@@ -640,6 +718,18 @@ ORACLE_SQL["price_append"] = f"""SELECT url, CAST(CAST(date AS DATE) AS VARCHAR)
   UNION ALL SELECT 'u' || c_custkey, CAST({_DAY} AS VARCHAR), c_custkey % 50 FROM customer"""
 
 
+@query
+def price_validate(spark, sf_dir):
+    """Checked prices as scraped text: what is no whole number goes."""
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 0, "").when(k % 7 == 0, "12.5").when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).otherwise(k.cast("string"))
+    checked = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), k).alias("url"), text.alias("price_chf"))
+    return listings.validate_prices(checked).withColumn("price_chf", F.col("price_chf").cast("long"))
+
+
+ORACLE_SQL["price_validate"] = "SELECT 'u' || c_custkey AS url, c_custkey AS price_chf FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0"
+
+
 @query
 def listing_load(spark, sf_dir):
     """Scraped arrays of strings to fields: the n-th value, stripped; empty is null."""
