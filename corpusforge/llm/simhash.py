@@ -11,11 +11,13 @@ Hamming distance. Nothing is capped: the links found are all links.
 Documents with one fingerprint are one node. A cell yields a spanning star for each
 linked set, never its pairs, so links grow with the nodes and not with the square
 of a group. Large cells join neighbours in several sort orders first, and then
-compare only what is not yet in the cell's largest set with the rest.
+compare only what is not yet in the cell's largest set with the rest, within cells of
+finer grids, so that a hot cell of scattered points is not compared pair by pair.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other;
 a null ``doc_id`` never names a component unless all its members are null; repeated
-rows are returned as often as they come; an empty table gives an empty result.
+rows are returned as often as they come; equal fingerprints are one point,
+so ties cannot arise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ LOW = 0x5555555555555555
 SMALL_CELL = 24
 #: Rows of a block of pairwise comparisons.
 BLOCK = 1 << 22
+#: Comparisons that a cell makes at most before it is split.
+DIRECT = 1 << 24
 
 
 def fingerprint(text: str | None) -> int:
@@ -117,16 +121,39 @@ def link_cell(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         near = np.bitwise_count(fp[order[1:]] ^ fp[order[:-1]]) <= r
         labels = _settle(labels, order[1:][near], order[:-1][near])
     roots, counts = np.unique(labels, return_counts=True)
-    rest = np.flatnonzero(labels != roots[counts.argmax()])
-    step = max(1, BLOCK // n)
-    for k in range(0, len(rest), step):
-        rows = rest[k : k + step]
-        i, j = np.nonzero(np.bitwise_count(point[rows][:, None] ^ point[None, :]) <= r)
-        near = np.bitwise_count(fp[rows[i]] ^ fp[j]) <= r
-        labels = _settle(labels, rows[i][near], j[near])
+    rest = labels != roots[counts.argmax()]
+    for i, j in _near_pairs(fp, point, rest, radius):
+        labels = _settle(labels, i, j)
     return labels
 
 
+def _near_pairs(fp: np.ndarray, point: np.ndarray, rest: np.ndarray, radius: int):
+    """Pairs (i, j) within ``radius`` with i in ``rest``, in blocks; of many points, within cells of a finer grid.
+
+    Points within the radius agree on one at least of ``radius`` + 1 groups of the
+    segments, so it is enough to compare those that agree on a group. Only segments
+    that differ between the points are grouped, so each cell is smaller than the last.
+    """
+    n, own = len(fp), np.flatnonzero(rest)
+    segments = [s for s in range(32) if n * len(own) > DIRECT and len(np.unique(point >> np.uint64(2 * s) & np.uint64(3))) > 1]
+    if len(segments) <= radius:
+        step = max(1, BLOCK // max(n, 1))
+        for k in range(0, len(own), step):
+            rows = own[k : k + step]
+            i, j = np.nonzero(np.bitwise_count(point[rows][:, None] ^ point[None, :]) <= radius)
+            near = np.bitwise_count(fp[rows[i]] ^ fp[j]) <= radius
+            yield rows[i][near], j[near]
+        return
+    for group in np.array_split(segments, radius + 1):
+        key = point & np.uint64(sum(3 << (2 * int(s)) for s in group))
+        order = np.argsort(key, kind="stable")
+        borders = np.flatnonzero(np.diff(key[order])) + 1
+        for cell in np.split(order, borders):
+            if len(cell) > 1 and rest[cell].any():
+                for i, j in _near_pairs(fp[cell], point[cell], rest[cell], radius):
+                    yield cell[i], cell[j]
+
+
 def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges between the points of whole cells, sorted by key."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))

@@ -562,3 +562,22 @@ def test_op9_all_links_of_planted_fingerprints(spark):
     for i, x in enumerate(fp.view(np.int64)):
         sets[got.get(int(x), int(x))].add(int(label[i]))
     assert all(len(s) == 1 for s in sets.values()) and len(sets) == len(set(label.tolist()))
+
+
+def test_op9_large_cells_are_split_and_exact():
+    """Points that agree on three groups of segments, scattered otherwise, with near ones among them: sets are those of all pairs."""
+    from corpusforge.llm import simhash
+
+    r = np.random.default_rng(4)
+    free = np.uint64(0xFFFFFFFFF)
+    fp = r.integers(0, 2**63, 12_000).astype(np.uint64) & free
+    near = fp[r.integers(0, len(fp), 3_000)]
+    for _ in range(3):
+        near = near ^ (np.uint64(1) << r.integers(0, 36, len(near)).astype(np.uint64))
+    fp = np.unique(np.concatenate((fp, near)))
+    got = simhash.link_cell(fp)
+    want = np.arange(len(fp))
+    for k in range(0, len(fp), 500):
+        i, j = np.nonzero(np.bitwise_count(fp[k : k + 500, None] ^ fp[None, :]) <= 4)
+        want = simhash._settle(want, k + i, j)
+    assert (got == want).all() and len(fp) ** 2 > simhash.DIRECT and len(np.unique(got)) < len(fp)
