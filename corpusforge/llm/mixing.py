@@ -82,18 +82,17 @@ def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_
     own = [F.col(f"`{c}`") for c in carry]
     key = F.xxhash64(F.col(f"`{doc_id}`"), F.when(F.col(f"`{doc_id}`").isNull(), F.xxhash64(F.col(f"`{text}`"))), F.lit(seed))
     src = F.col(f"`{source}`")
-    sized = materialize(
-        docs.select(
-            *own,
-            src.alias("__src"),
-            F.coalesce(F.concat(F.lit("="), src.cast("string")), F.lit("")).alias("__k"),
-            F.col(f"`{doc_id}`").alias("__id"),
-            word_count(F.col(f"`{text}`")).alias("__size"),
-            key.alias("__u"),
-            F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int").alias("__b"),
-        ),
-        "sized",
+    whole = docs.select(
+        *own,
+        src.alias("__src"),
+        F.coalesce(F.concat(F.lit("="), src.cast("string")), F.lit("")).alias("__k"),
+        F.col(f"`{doc_id}`").alias("__id"),
+        word_count(F.col(f"`{text}`")).alias("__size"),
+        key.alias("__u"),
+        F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int").alias("__b"),
     )
+    # Sizes are written, texts are not: they are measured again on their way into the mix.
+    sized = materialize(whole.select("__src", "__k", "__id", "__size", "__u", "__b"), "sized")
     targets, budget, last = source_targets(sized, budget_share, repeats)
     # First level: (source, bucket) sums; at most BUCKETS rows for each source.
     buckets = sized.groupBy("__k", "__b").agg(F.sum("__size").alias("__n"))
@@ -110,7 +109,7 @@ def fair_queue(docs: DataFrame, text: str = "text", source: str = "source", doc_
 
     slim = placed(sized.select("__k", "__id", "__size", "__u", "__b"))
     cut = cut_of(copies_of(slim, repeats), budget, last)
-    return placed(sized).withColumn("__taken", taken(cut, repeats))
+    return placed(whole).withColumn("__taken", taken(cut, repeats))
 
 
 def finish_of(e) -> Column:

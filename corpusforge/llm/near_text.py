@@ -73,6 +73,11 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text))
 
 
+def short_set(text: str | None) -> np.ndarray:
+    """The shingle set at half the size, to be sent for verification: the upper halves of the hashes. Two in a million shingles of a 10,000-word text meet by chance."""
+    return np.unique((shingle_set(text) >> np.uint64(32)).astype(np.uint32))
+
+
 def wide_fingerprint(own: np.ndarray) -> np.ndarray:
     """128-bit SimHash, as two words, of a shingle set; the second word's bits come from the hashes mixed again."""
     out = np.empty(2, np.uint64)
@@ -139,18 +144,19 @@ class Points:
         return sum(np.bitwise_count(w[i] ^ w[j]) for w in words)
 
 
-def _dense(p: Points, n: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a cell of ``n`` points, and whether more are left: all if they are few, else each point's nearest."""
+def _dense(p: Points, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of a cell of ``n`` points: all pairs if they are few; else none, and for each point a near one (-1: there is none)."""
+    none = np.zeros(0, np.int64)
     if n > WIDE:
-        a, b = [], []
+        near = np.arange(n)  # itself: all members stay for the second round
         for turn in range(0, 64, 16):
             for w in p.f:
                 t = np.uint64(turn)
                 order = np.argsort((w << t) | (w >> np.uint64((64 - turn) % 64)) if turn else w)
                 hit = p.near(order[1:], order[:-1])
-                a.append(order[1:][hit]), b.append(order[:-1][hit])
-        return np.concatenate(a), np.concatenate(b), True
-    a, b, near_a, near_b = [], [], [], []
+                near[order[1:][hit]] = order[:-1][hit]
+        return none, none, near
+    a, b, near = [none], [none], np.full(n, -1)
     step = max(1, BLOCK // n)
     for k in range(0, n, step):
         own = np.arange(k, min(n, k + step))
@@ -160,21 +166,19 @@ def _dense(p: Points, n: int) -> tuple[np.ndarray, np.ndarray, bool]:
         later = own[i] < j
         a.append(own[i[later]]), b.append(j[later])
         best = d.argmin(axis=1)
-        ok = d[np.arange(len(own)), best] <= RADIUS
-        near_a.append(own[ok]), near_b.append(best[ok])
+        near[own] = np.where(d[np.arange(len(own)), best] <= RADIUS, best, -1)
     a, b = np.concatenate(a), np.concatenate(b)
-    if len(a) <= FEW * n:
-        return a, b, False
-    return np.concatenate(near_a), np.concatenate(near_b), True
+    return (a, b, None) if len(a) <= FEW * n else (none, none, near)
 
 
 def _first_round(key, node, f0, f1):
-    """Of whole cells sorted by key: candidate pairs of nodes, and positions of the members of dense cells."""
+    """Of whole cells sorted by key: candidate pairs of nodes; positions of the members of dense cells, and the nearest node of each (-1: none)."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     few = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     k, p = key[few], Points(f0[few], f1[few])
-    a, b, dense = [], [], []
+    none = np.zeros(0, np.int64)
+    a, b, dense, nearest = [none], [none], [none], [none]
     for d in range(1, min(SMALL, len(k))):
         same = np.flatnonzero(k[d:] == k[:-d])
         if not len(same):
@@ -182,19 +186,20 @@ def _first_round(key, node, f0, f1):
         hit = same[p.near(same, same + d)]
         a.append(node[few[hit]]), b.append(node[few[hit + d]])
     for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        x, y, more = _dense(Points(f0[s : s + n], f1[s : s + n]), int(n))
+        x, y, near = _dense(Points(f0[s : s + n], f1[s : s + n]), int(n))
         a.append(node[s + x]), b.append(node[s + y])
-        if more:
-            dense.append(np.arange(s, s + n))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none, *dense])
+        if near is not None:
+            # A member without a near one is in no pair of this cell.
+            own = np.flatnonzero(near >= 0)
+            dense.append(s + own), nearest.append(node[s + near[own]])
+    return tuple(map(np.concatenate, (a, b, dense, nearest)))
 
 
-def _second_round(key, node, f0, f1, root, size, shared):
+def _second_round(key, node, f0, f1, root, size, shared, masks):
     """Of whole dense cells: pairs of nodes within the radius that are not joined yet and can be similar.
 
     Two sets of ``size`` shingles have no more in common than either one has ``shared``
-    with any other text.
+    with any other text. A pair comes from the first grid in which it shares a cell.
     """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -203,6 +208,7 @@ def _second_round(key, node, f0, f1, root, size, shared):
         roots, counts = np.unique(own, return_counts=True)
         rest = np.flatnonzero(own != roots[counts.argmax()])
         step = max(1, BLOCK // int(e - s))
+        keys = cell_keys(f0[s:e], f1[s:e], masks) if len(rest) else None
         for k in range(0, len(rest), step):
             rows = rest[k : k + step]
             i, j = np.nonzero((p.rows(rows) <= RADIUS) & (own[rows][:, None] != own[None, :]))
@@ -210,7 +216,13 @@ def _second_round(key, node, f0, f1, root, size, shared):
             j = s + j
             most = np.minimum(shared[i], shared[j])
             can = most >= SIMILARITY * (size[i] + size[j] - most)
-            a.append(node[i[can]]), b.append(node[j[can]])
+            i, j = i[can], j[can]
+            here = np.empty(len(i), bool)
+            for x in range(0, len(i), 1 << 14):
+                shared_cell = keys[i[x : x + (1 << 14)] - s] == keys[j[x : x + (1 << 14)] - s]
+                first = shared_cell.argmax(axis=1)
+                here[x : x + (1 << 14)] = keys[i[x : x + (1 << 14)] - s, first] == key[s].view(np.uint64)
+            a.append(node[i[here]]), b.append(node[j[here]])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -219,9 +231,8 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
 
 
-def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(nodes: DataFrame, masks: np.ndarray) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of ``nodes`` (node, f0, f1): candidate pairs (a, b), the members (key, node, f0, f1) of dense cells, and the table that holds these."""
-    masks = grids(n)
 
     def spread(batches):
         for batch in batches:
@@ -232,22 +243,23 @@ def candidates(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFram
                 cols = [np.repeat(c[k : k + step], len(masks)) for c in (node, f0, f1)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, cols)], ["key", "node", "f0", "f1"])
 
-    names, zero = ["a", "b", "key", "node", "f0", "f1"], lambda n: pa.nulls(n, pa.int64())
+    names, zero = ["a", "b", "key", "f0", "f1"], lambda n: pa.nulls(n, pa.int64())
 
     def join(batches):
         for key, node, f0, f1 in whole_cells(batches):
-            a, b, dense = _first_round(key, node, f0.view(np.uint64), f1.view(np.uint64))
+            a, b, dense, nearest = _first_round(key, node, f0.view(np.uint64), f1.view(np.uint64))
             if len(a):
                 ab = _ordered(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), *[zero(len(ab))] * 4], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), *[zero(len(ab))] * 3], names)
             if len(dense):
-                yield pa.RecordBatch.from_arrays([*[zero(len(dense))] * 2, *[pa.array(c[dense]) for c in (key, node, f0, f1)]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(node[dense]), pa.array(nearest), *[pa.array(c[dense]) for c in (key, f0, f1)]], names)
 
     cells = nodes.select("node", "f0", "f1").mapInArrow(spread, "key long, node long, f0 long, f1 long")
-    found = cells.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long, key long, node long, f0 long, f1 long")
+    found = cells.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long, key long, f0 long, f1 long")
     found = materialize(found, "found")
-    pairs = materialize(found.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    return pairs, found.filter("key IS NOT NULL").select("key", "node", "f0", "f1"), found
+    # A member of a dense cell is one row, with its nearest.
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    return pairs, found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "f0", "f1"), found
 
 
 def shared_counts(dense: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,22 +269,22 @@ def shared_counts(dense: DataFrame, sets: DataFrame) -> DataFrame:
     def spread(batches):
         for b in batches:
             for node, x in zip(b.column(0).to_numpy(), b.column(1)):
-                h = np.frombuffer(x.as_py(), np.int64)
+                h = np.frombuffer(x.as_py(), np.uint32).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), node))], ["h", "node"])
 
     alone = own.mapInArrow(spread, "h long, node long").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
     alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    size = (F.length("own") / 8).cast("long")
+    size = (F.length("own") / 4).cast("long")
     return own.select("node", size.alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, masks: np.ndarray) -> DataFrame:
     """Pairs of dense cells that are within the radius, not joined by ``roots`` (node, root), not ``tested`` and can be similar."""
 
     def join(batches):
         for cols in whole_cells(batches):
             key, node, f0, f1, root, size, shared = cols
-            ab = _ordered(*_second_round(key, node, f0.view(np.uint64), f1.view(np.uint64), root, size, shared))
+            ab = _ordered(*_second_round(key, node, f0.view(np.uint64), f1.view(np.uint64), root, size, shared, masks))
             if len(ab):
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
@@ -290,13 +302,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for b in batches:
             near = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 near.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a long, b long")
+    # Sizes alone rule out many pairs before whole sets are sent. Sets are wide rows: they are never broadcast through the driver.
+    size = lambda c: sets.select(F.col("node").alias(c), F.length("own").alias(f"n_{c}"))
+    can = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+    pairs = pairs.join(size("a"), "a").join(size("b"), "b").filter(can).select("a", "b")
+    own = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")).hint("merge")
+    return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -322,7 +338,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
     nodes = signed.groupBy("name").agg(first, F.min("f0").alias("f0"), F.min("f1").alias("f1")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
-    pairs, dense, found = candidates(nodes, nodes.count())
+    masks = grids(nodes.count())
+    pairs, dense, found = candidates(nodes, masks)
     repeated = materialize(signed.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "th"), "repeated")
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     met = materialize(nodes.join(met, "node", "left_semi").select("node", F.col("first.id").alias("m_id"), F.col("first.th").alias("m_th")), "met")
@@ -331,14 +348,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "own"])
 
     texts = slim.join(met, (F.col("th") == F.col("m_th")) & F.col("id").eqNullSafe(F.col("m_id"))).select("node", "text")
     sets = texts.mapInArrow(own_sets, "node long, own binary")
     sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = materialize(verified(pairs, sets), "links")
     roots = components(links)
-    more = materialize(still_apart(dense, roots, pairs, sets), "apart")
+    more = materialize(still_apart(dense, roots, pairs, sets, masks), "apart")
     if not more.isEmpty():
         again = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)), "links")
         discard(roots)
