@@ -6,15 +6,17 @@ about sqrt(2) apart. An n-gram of level q goes into a Bloom filter q times, as
 probe fails. The model interpolates: LAMBDA times the pair's share of its history,
 the rest the word's smoothed share of the corpus, both read from the filter.
 
-The filter is made of segments by the n-gram's hash, each built by the task that
-counts that segment, with a size by its own number of entries, so the filter grows
-with the corpus and keeps ``BITS`` bits an entry at every size. Up to
-``MAX_FILTER_BYTES`` and ``MAX_WORDS`` in all it goes to the executors whole, with the
-exact word counts behind ``base_score``. Above, nothing is sent round: the distinct n-grams of each chunk of texts go to the tasks that hold
-their segments, and the counts return to the chunk. Both ways read the same counts.
-
-Texts are counted in chunks before the shuffle, so a frequent pair is one row for
-each chunk. Words are hashed to 64 bits throughout.
+The filter is made of segments by the n-gram's hash, each with a size by its own number
+of entries, so the filter grows with the corpus and keeps ``BITS`` bits an entry at every
+size. It is never in one place: texts are taken in chunks of ``CHUNK`` bytes, and a chunk
+sends each of its distinct n-grams once, with its count in the chunk's training texts, to
+the task that has the segment. That task adds up the counts, builds the segments, probes
+them and sends level and exact count back to the chunk, where the texts are scored. A row
+is all that a chunk and a task exchange, so the work of a task is a few array operations
+however many chunks there are, and what is sent is in proportion to the texts.
+
+A chunk is the same rows whenever it is read: it is cut from a scan of files, or from a
+written copy of ``docs`` where these are anything else. Words are hashed to 64 bits throughout.
 
 Defined results: null and empty texts hold one token, the end; a null id is never
 held out and never learned from; repeated rows count and are scored as often as they come; without any
@@ -24,12 +26,14 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -40,12 +44,14 @@ FOLDS, HELD = 10, 0
 LAMBDA, PROBES, BITS, UNIT = 0.3, 4, 10, 1024
 #: Text that a task counts the n-grams of, in bytes, and segments for each such task.
 TASK_BYTES, TASK_SEGMENTS, LEAST_SEGMENT_BITS = 10 << 20, 8, 12
-#: What goes to the executors whole: bytes of the filter, and words.
-MAX_FILTER_BYTES, MAX_WORDS = 256 << 20, 16_000_000
-CHUNK, CACHE = 1_000_000, 400_000
-#: What is collected at once holds about 2 ** PIECE_BITS bytes.
-PIECE_BITS = 22
-END = np.uint64(0x5EED0F7E97000001)
+#: Bytes of the filter that a task builds and probes at once: a segment at least.
+MAX_FILTER_BYTES = 256 << 20
+#: Bytes of text in a chunk; words whose hashes are remembered.
+CHUNK, CACHE = 6 << 20, 400_000
+#: Upper bits of a hash that are sent as counts of hashes for each value.
+PREFIX = 16
+_END = 0x5EED0F7E97000001
+END = np.uint64(_END)
 #: Least count of each level.
 LEVELS = np.unique(np.floor(2.0 ** (np.arange(0, 126) / 2)).astype(np.int64))
 MIDDLE = np.concatenate(([0.0], (LEVELS[:-1] + LEVELS[1:] - 1) / 2, [float(LEVELS[-1])]))
@@ -83,23 +89,47 @@ def trained(doc_id) -> bool:
     return doc_id is not None and not held_out(doc_id)
 
 
-def chunks(batches):
-    """(ids, token hashes, lengths) of whole texts, about CHUNK tokens at a time; each text ends in END."""
-    of = _Hashes()
-    ids, tokens, lengths, n = [], [], [], 0
+def cut(batches):
+    """(key, rows) of chunks in order: rows of (id, text, partition) up to CHUNK bytes of text, an empty one counted as 8."""
+    n, size = 0, 0
     for b in batches:
-        for i, t in zip(b.column(0), b.column(1)):
-            words = (t.as_py() or "").encode().lower().split()
-            own = np.empty(len(words) + 1, np.uint64)
-            own[:-1] = np.array(list(map(of.__getitem__, words)), np.uint64)
-            own[-1] = END
-            ids.append(i.as_py()), tokens.append(own), lengths.append(len(own))
-            n += len(own)
-            if n >= CHUNK:
-                yield ids, np.concatenate(tokens), np.array(lengths)
-                ids, tokens, lengths, n = [], [], [], 0
-    if ids:
-        yield ids, np.concatenate(tokens), np.array(lengths)
+        if b.num_rows:
+            part = b.column(2)[0].as_py() << 32
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        first = 0
+        for k in range(b.num_rows):
+            size += int(sizes[k]) + 8
+            if size >= CHUNK:
+                yield part | n, b.slice(first, k + 1 - first)
+                n, size, first = n + 1, 0, k + 1
+        if first < b.num_rows:
+            yield part | n, b.slice(first)
+
+
+def hashed(texts, of: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of the texts end to end, and the number of each one's tokens; each text ends in END."""
+    tokens, lengths = [], []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        tokens += map(of.__getitem__, words)
+        tokens.append(_END)
+        lengths.append(len(words) + 1)
+    return np.array(tokens, np.uint64), np.array(lengths, np.int64)
+
+
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of bytes: the next ``counts`` items of ``data`` each."""
+    ends = np.concatenate(([0], np.cumsum(counts))) * (data.nbytes // max(1, len(data)))
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def flat(column: pa.Array, kind=np.uint8) -> np.ndarray:
+    """The items of all rows of bytes, end to end."""
+    if not len(column):
+        return np.zeros(0, kind)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data[int(ends[0]) : int(ends[-1])], kind) if ends[-1] > ends[0] else np.zeros(0, kind)
 
 
 def build_segment(h: np.ndarray, c: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -125,10 +155,9 @@ def positions(h: np.ndarray, i: int, size):
         a = a + step
 
 
-def probe(data: np.ndarray, offset, size, h: np.ndarray) -> np.ndarray:
-    """Levels of the n-grams ``h``: probes go on while they succeed. ``offset``, ``size``: of each one's segment, or one for all."""
-    offset, size = np.broadcast_to(np.asarray(offset, np.int64), len(h)), np.broadcast_to(size, len(h))
-    level = np.zeros(len(h), np.int64)
+def probe(data: np.ndarray, offset: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Levels of the n-grams ``h``: probes go on while they succeed. ``offset``, ``size``: of each one's segment."""
+    level = np.zeros(len(h), np.uint8)
     alive = np.arange(len(h))
     i = 1
     while len(alive) and i < len(MIDDLE):
@@ -142,92 +171,26 @@ def probe(data: np.ndarray, offset, size, h: np.ndarray) -> np.ndarray:
     return level
 
 
-class CountFilter:
-    """The whole filter: segments laid end to end in one array."""
-
-    def __init__(self, sizes: np.ndarray):
-        """``sizes``: bytes of each segment; a segment that is absent gets an empty unit."""
-        own = np.where(sizes > 0, sizes, UNIT // 8).astype(np.int64)
-        self.top = np.uint64(65 - len(sizes).bit_length())
-        self.sizes = (8 * own).astype(np.uint64)
-        self.offsets = np.cumsum(own) - own
-        self.data = np.zeros(int(own.sum()), np.uint8)
-
-    def put(self, seg: int, part: np.ndarray) -> None:
-        self.data[self.offsets[seg] : self.offsets[seg] + len(part)] = part
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts."""
-        seg = (h >> self.top).astype(np.int64)
-        return MIDDLE[probe(self.data, self.offsets[seg], self.sizes[seg], h)]
-
-
-def count_ngrams(docs: DataFrame, segment_bits: int, tasks: int) -> DataFrame:
-    """A row for each segment: filter bytes, sorted word hashes with exact counts, tokens, entries. ``docs``: id, text."""
+def filter_levels(h: np.ndarray, c: np.ndarray, segment_bits: int) -> np.ndarray:
+    """Level of each distinct n-gram, read back from the filter of those with a count above zero."""
     top = np.uint64(64 - segment_bits)
-
-    def count(batches):
-        for ids, tokens, lengths in chunks(batches):
-            train = np.repeat(np.array([trained(i) for i in ids]), lengths)
-            _, pair = pairs(tokens, lengths)
-            for is_word, h in ((True, tokens[train]), (False, pair[train])):
-                u, c = np.unique(h, return_counts=True)
-                seg = (u >> top).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(u.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(np.full(len(u), is_word))], ["seg", "h", "c", "word"])
-
-    def total(h, c):
-        u, inv = np.unique(h, return_inverse=True)
-        return u, np.bincount(inv, c, len(u)).astype(np.int64)
-
-    def build(batches):
-        held = [[], [], []]
-        for b in batches:
-            for k in range(3):
-                held[k].append(b.column(k + 1).to_numpy(zero_copy_only=False))
-        if not held[0]:
-            return
-        h, c, word = (np.concatenate(x) for x in held)
-        h = h.view(np.uint64)
-        (wh, wc), (ph, pc) = total(h[word], c[word]), total(h[~word], c[~word])
-        segs = np.unique(np.concatenate((wh >> top, ph >> top)))
-        for s in segs:
-            lo, hi = int(s) << int(top), (int(s) + 1) << int(top)
-            cut = lambda x: slice(np.searchsorted(x, np.uint64(lo)), len(x) if hi >> 64 else np.searchsorted(x, np.uint64(hi)))
-            w, p = cut(wh), cut(ph)
-            bits = build_segment(np.concatenate((wh[w], ph[p])), np.concatenate((wc[w], pc[p])))
-            row = [int(s)], [bits.tobytes()], [wh[w].tobytes()], [wc[w].tobytes()], [int(wc[w].sum())], [w.stop - w.start]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["seg", "bits", "words", "counts", "tokens", "types"])
-
-    rows = docs.mapInArrow(count, "seg int, h long, c int, word boolean")
-    return rows.repartition(tasks, "seg").mapInArrow(build, "seg int, bits binary, words binary, counts binary, tokens long, types long")
-
-
-def _pieces(model: DataFrame, columns: list[str], lo: int, hi: int, parts: int):
-    """Rows of segments lo to hi by number: a part at a time passes through the driver."""
-    step = -(-(hi - lo) // parts)
-    for a in range(lo, hi, step):
-        rows = model.filter((F.col("seg") >= a) & (F.col("seg") < min(hi, a + step))).select("seg", *columns).collect()
-        yield from sorted(rows, key=lambda r: r[0])
-
-
-def load_filter(model: DataFrame, size: int, segment_bits: int) -> CountFilter:
-    sizes = np.zeros(1 << segment_bits, np.int64)
-    for seg, n in model.select("seg", F.length("bits")).collect():
-        sizes[seg] = n
-    out = CountFilter(sizes)
-    for seg, bits in _pieces(model, ["bits"], 0, 1 << segment_bits, max(1, size >> PIECE_BITS)):
-        out.put(seg, np.frombuffer(bits, np.uint8))
-    return out
-
-
-def load_words(model: DataFrame, types: int, tokens: int, segment_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and their counts."""
-    words, counts, at = np.empty(types, np.uint64), np.empty(types, np.uint32 if tokens < 1 << 32 else np.int64), 0
-    for _, w, c in _pieces(model, ["words", "counts"], 0, 1 << segment_bits, max(1, 16 * types >> PIECE_BITS)):
-        w, c = np.frombuffer(w, np.uint64), np.frombuffer(c, np.int64)
-        words[at : at + len(w)], counts[at : at + len(w)] = w, c
-        at += len(w)
-    return words, counts
+    order = np.argsort(h)
+    seg = (h[order] >> top).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1]))) if len(h) else np.zeros(0, np.int64)
+    level = np.zeros(len(h), np.uint8)
+    parts, rows, held = [], [], 0
+    for k, (x, y) in enumerate(zip(starts, [*starts[1:], len(h)])):
+        own = order[x:y]
+        known = own[c[own] > 0]
+        parts.append(build_segment(h[known], c[known]))
+        rows.append(own)
+        held += len(parts[-1])
+        if held >= MAX_FILTER_BYTES or k + 1 == len(starts):
+            sizes, many = np.array([len(p) for p in parts]), [len(r) for r in rows]
+            at = np.concatenate(rows)
+            level[at] = probe(np.concatenate(parts), np.repeat(np.cumsum(sizes) - sizes, many), np.repeat((8 * sizes).astype(np.uint64), many), h[at])
+            parts, rows, held = [], [], 0
+    return level
 
 
 def token_scores(own: np.ndarray, together: np.ndarray, lengths: np.ndarray, whole: float) -> np.ndarray:
@@ -242,134 +205,128 @@ def token_scores(own: np.ndarray, together: np.ndarray, lengths: np.ndarray, who
     return np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
 
 
-def _by_segment(slim: DataFrame, model: DataFrame, whole: float, schema: str, segment_bits: int) -> DataFrame:
-    """Texts scored by joining the n-grams of their chunks with the segments of the model.
+def _asked(slim: DataFrame, group_bits: int) -> DataFrame:
+    """A row for each chunk and group of hashes: of its distinct words (w) and pairs (p), how many begin with each prefix,
+    their lower 48 bits in order, and their counts in the chunk's training texts."""
+    groups, each = 1 << group_bits, 1 << (PREFIX - group_bits)
 
-    A chunk's n-grams are sorted by hash, so those of a segment are a slice, and the
-    slices' counts laid end to end in the order of the segments are the chunk's.
-    """
-    id_type, ids_type = slim.schema["id"].dataType.simpleString(), to_arrow_type(slim.schema["id"].dataType)
-    top = np.uint64(64 - segment_bits)
-    fields = ["key", "kind", "seg", "h", "id", "word", "pair"]
+    def columns(h, train):
+        u, inv = np.unique(h, return_inverse=True)
+        prefix = np.bincount((u >> np.uint64(64 - PREFIX)).astype(np.int64), minlength=1 << PREFIX).reshape(groups, each)
+        n = prefix.sum(axis=1)
+        low = np.ascontiguousarray(u.view(np.uint8).reshape(-1, 8)[:, : 8 - PREFIX // 8])
+        return [binaries(prefix.astype(np.uint16).ravel(), np.full(groups, each)), binaries(low, n), binaries(np.bincount(inv[train], minlength=len(u)).astype(np.uint32), n)]
 
     def ask(batches):
-        part = TaskContext.get().partitionId()
-        for n, (ids, tokens, lengths) in enumerate(chunks(batches)):
-            key = part << 32 | n
-            index = []
-            for kind, h in enumerate((tokens, pairs(tokens, lengths)[1])):
-                u, inv = np.unique(h, return_inverse=True)
-                index.append(inv.astype(np.int32))
-                seg = (u >> top).astype(np.int32)
-                at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-                k, none = len(at), pa.nulls(len(at), pa.binary())
-                h_of = pa.array([u[x:y].tobytes() for x, y in zip(at, [*at[1:], len(u)])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(np.full(k, kind, np.int32)), pa.array(seg[at]), h_of, pa.nulls(k, ids_type), none, none], fields)
-            ends = np.cumsum(lengths)
-            for x in range(0, len(ids), 256):
-                y = min(x + 256, len(ids))
-                cut = [pa.array([i[e - m : e].tobytes() for e, m in zip(ends[x:y], lengths[x:y])], pa.binary()) for i in index]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(y - x, key)), pa.array(np.full(y - x, 2, np.int32)), pa.array(np.arange(x, y, dtype=np.int32)), pa.nulls(y - x, pa.binary()), pa.array(ids[x:y], ids_type), *cut], fields)
+        of = _Hashes()
+        for at, rows in groupby(cut(batches), lambda x: x[0]):
+            rows = pa.Table.from_batches([r for _, r in rows])
+            tokens, lengths = hashed(rows.column(1).to_pylist(), of)
+            train = np.repeat(np.array([trained(i) for i in rows.column(0).to_pylist()]), lengths)
+            key = pa.array(np.full(groups, at))
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.arange(groups, dtype=np.int32)), *columns(tokens, train), *columns(pairs(tokens, lengths)[1], train)], ["key", "seg", "wn", "wl", "wc", "pn", "pl", "pc"])
+
+    return slim.mapInArrow(ask, "key long, seg int, wn binary, wl binary, wc binary, pn binary, pl binary, pc binary")
+
+
+def _answered(asked: DataFrame, group_bits: int, segment_bits: int) -> DataFrame:
+    """Levels of what each chunk asked for, exact counts of its words (lower 16 bits, rest); tokens and types of each task once."""
+    each = 1 << (PREFIX - group_bits)
+
+    def hashes(b, seg, k):
+        counts = flat(b.column(k), np.uint16)
+        prefix = np.repeat((seg[:, None] * each + np.arange(each)).ravel(), counts).astype(np.uint64)
+        h = np.zeros((len(prefix), 8), np.uint8)
+        h[:, : 8 - PREFIX // 8] = flat(b.column(k + 1)).reshape(-1, 8 - PREFIX // 8)
+        return h.view(np.uint64).ravel() | prefix << np.uint64(64 - PREFIX), flat(b.column(k + 2), np.uint32), counts.reshape(-1, each).sum(axis=1)
 
     def answer(batches):
-        now, grams = None, None
+        keys, segs, held = [], [], ([], [])
         for b in batches:
-            keys, kinds, levels, exact = [], [], [], []
-            for key, kind, seg, h, words, counts in zip(*(b.column(k) for k in range(6))):
-                seg, h = seg.as_py(), np.frombuffer(h.as_py(), np.uint64 if kind.as_py() >= 0 else np.uint8)
-                if kind.as_py() < 0:
-                    now, grams = seg, h
-                    size = np.uint64(8 * len(grams))
-                    known, known_c = np.frombuffer(words.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
-                    continue
-                level, c = np.zeros(len(h), np.uint8), np.zeros(len(h) if kind.as_py() == 0 else 0, np.int64)
-                if seg == now:
-                    level = probe(grams, np.uint64(0), size, h).astype(np.uint8)
-                    if len(c) and len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        c = np.where(known[at] == h, known_c[at], 0)
-                keys.append((key.as_py(), kind.as_py(), seg)), levels.append(level.tobytes()), exact.append(c.tobytes())
-            if keys:
-                k, kind, seg = zip(*keys)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(kind, pa.int32()), pa.array(seg, pa.int32()), pa.array(levels, pa.binary()), pa.array(exact, pa.binary())], ["key", "kind", "seg", "level", "exact"])
+            seg = b.column(1).to_numpy().astype(np.int64)
+            keys.append(b.column(0).to_numpy()), segs.append(seg)
+            for k in range(2):
+                held[k].append(hashes(b, seg, 2 + 3 * k))
+        if not keys:
+            return
+        (w, w_inv, wc, wn), (p, p_inv, pc_, pn) = (total(*map(np.concatenate, zip(*x))) for x in held)
+        level = filter_levels(np.concatenate((w, p)), np.concatenate((wc, pc_)), segment_bits)
+        key, exact = np.concatenate(keys), wc[w_inv]
+        once = np.arange(len(key)) == 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(np.concatenate(segs).astype(np.int32)), binaries(level[: len(w)][w_inv], wn), binaries((exact & 0xFFFF).astype(np.uint16), wn), binaries(exact >> 16, wn), binaries(level[len(w) :][p_inv], pn), pa.array(once * int(wc.sum())), pa.array(once * int((wc > 0).sum()))],
+            ["key", "seg", "word", "low", "high", "pair", "tokens", "types"],
+        )
+
+    def total(h, c, n):
+        u, inv = np.unique(h, return_inverse=True)
+        return u, inv, np.bincount(inv, c, len(u)).astype(np.int64), n
+
+    # A group is one partition.
+    return asked.repartitionById(1 << group_bits, "seg").mapInArrow(answer, "key long, seg int, word binary, low binary, high binary, pair binary, tokens long, types long")
+
+
+def _settled(slim: DataFrame, said: DataFrame, whole: float) -> DataFrame:
+    """(id, n_tokens, n_known, base, score) of each text, from the answers to its chunk."""
+    id_type, ids_type = slim.schema["id"].dataType.simpleString(), to_arrow_type(slim.schema["id"].dataType)
+
+    def tag(batches):
+        for at, b in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, at)), b.column(0), b.column(1)], ["key", "id", "text"])
+
+    def score(answers, rows, of):
+        tokens, lengths = hashed([t for r in rows for t in r.column(7).to_pylist()], of)
+        level, low, high, pair = (np.concatenate([flat(a.column(k), t) for a in answers]) for k, t in ((2, np.uint8), (3, np.uint16), (4, np.int64), (5, np.uint8)))
+        u, inv = np.unique(tokens, return_inverse=True)
+        up, p_inv = np.unique(pairs(tokens, lengths)[1], return_inverse=True)
+        if (len(u), len(up)) != (len(level), len(pair)):
+            raise RuntimeError("a chunk of documents was not the same when it was read again")
+        c = high << 16 | low
+        starts = np.cumsum(lengths) - lengths
+        base = np.add.reduceat((np.log10(c + 0.1) - np.log10(0.1))[inv], starts) + lengths * np.log10(0.1 / whole)
+        found = token_scores(MIDDLE[level][inv], MIDDLE[pair][p_inv], lengths, whole)
+        known = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
+        ids = pa.chunked_array([r.column(6) for r in rows], ids_type).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.array(known), pa.array(base), pa.array(found)], ["id", "n_tokens", "n_known", "base", "score"])
 
     def settle(batches):
-        now, held, found = None, None, None
+        of, now, held = _Hashes(), None, ([], [])
         for b in batches:
-            ids, rows = [], []
-            for key, kind, level, exact, i, word, pair in zip(*(b.column(k) for k in (0, 1, 3, 4, 5, 6, 7))):
-                key, kind = key.as_py(), kind.as_py()
-                if key != now:
-                    now, held, found = key, ([], [], []), None
-                if kind < 2:
-                    held[kind].append(level.as_py())
-                    if kind == 0:
-                        held[2].append(exact.as_py())
-                    continue
-                if found is None:
-                    w, p, c = (b"".join(x) for x in held)
-                    found = MIDDLE[np.frombuffer(w, np.uint8)], MIDDLE[np.frombuffer(p, np.uint8)], np.frombuffer(c, np.int64)
-                    held = None
-                word, pair = (np.frombuffer(x.as_py(), np.int32) for x in (word, pair))
-                c, n = found[2][word], np.array([len(word)])
-                base = float(np.sum(np.log10(c + 0.1) - np.log10(0.1)) + len(word) * np.log10(0.1 / whole))
-                ids.append(i.as_py()), rows.append((len(word), int((c > 0).sum()), base, float(token_scores(found[0][word], found[1][pair], n, whole)[0])))
-            if ids:
-                n, known, base, score = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, ids_type), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["id", "n_tokens", "n_known", "base", "score"])
-
-    # Written once: keys and slices are those of one run of each task.
-    asked = materialize(slim.mapInArrow(ask, f"key long, kind int, seg int, h binary, id {id_type}, word binary, pair binary"), "asked")
-    held = model.select(F.lit(None).cast("long").alias("key"), F.lit(-1).alias("kind"), "seg", F.col("bits").alias("h"), "words", "counts")
-    grams = asked.filter("kind < 2").select("key", "kind", "seg", "h", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("binary").alias("counts"))
-    said = held.unionByName(grams).repartition("seg").sortWithinPartitions("seg", "kind").mapInArrow(answer, "key long, kind int, seg int, level binary, exact binary")
-    none = F.lit(None).cast("binary")
-    said = said.select("*", F.lit(None).cast(id_type).alias("id"), none.alias("word"), none.alias("pair"))
-    texts = asked.filter("kind = 2").select("key", "kind", "seg", none.alias("level"), none.alias("exact"), "id", "word", "pair")
-    return said.unionByName(texts).repartition("key").sortWithinPartitions("key", "kind", "seg").mapInArrow(settle, schema)
+            key, kind = b.column(0).to_numpy(), pc.is_valid(b.column(1)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))))
+            for x, y in zip(at, [*at[1:], len(key)]):
+                if key[x] != now:
+                    if held[1]:
+                        yield score(*held, of)
+                    now, held = key[x], ([], [])
+                held[0 if kind[x] else 1].append(b.slice(x, y - x))
+        if held[1]:
+            yield score(*held, of)
+
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    texts = slim.mapInArrow(tag, f"key long, id {id_type}, text string")
+    texts = texts.select("key", none("seg", "int"), *[none(c, "binary") for c in ("word", "low", "high", "pair")], "id", "text")
+    both = said.select("key", "seg", "word", "low", "high", "pair", none("id", id_type), none("text", "string")).unionByName(texts)
+    both = both.repartition("key").sortWithinPartitions("key", F.col("seg").asc_nulls_last())
+    return both.mapInArrow(settle, f"id {id_type}, n_tokens long, n_known long, base double, score double")
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    tasks = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES))
+    if re.search(r"Exchange|Python|Arrow|Pandas|Scan (?!parquet)|Sample|rand\(|uuid\(", slim._jdf.queryExecution().executedPlan().toString()):
+        slim = materialize(slim, "texts")
+    slim = slim.withColumn("part", F.spark_partition_id())
+    size = int(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    tasks = max(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     segment_bits = max(LEAST_SEGMENT_BITS, (TASK_SEGMENTS * tasks - 1).bit_length())
-    model = materialize(count_ngrams(slim, segment_bits, tasks), "ngrams")
-    sums = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()
-    n_train, n_types, size = (int(x) for x in sums)
-    whole = n_train + 0.1 * (n_types + 1)
-    id_type = slim.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_tokens long, n_known long, base double, score double"
-    if size > MAX_FILTER_BYTES or n_types > MAX_WORDS:
-        out = _by_segment(slim, model, whole, schema, segment_bits)
-    else:
-        sc = docs.sparkSession.sparkContext
-        out = _by_broadcast(slim, sc.broadcast(load_filter(model, size, segment_bits)), sc.broadcast(load_words(model, n_types, n_train, segment_bits)), whole, schema)
+    group_bits = min(PREFIX, (tasks - 1).bit_length())
+    said = materialize(_answered(_asked(slim, group_bits), group_bits, segment_bits), "answers")
+    n_train, n_types = (int(x) for x in said.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
+    out = _settled(slim, said, n_train + 0.1 * (n_types + 1))
     held = F.coalesce(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)) == HELD, F.lit(False))
     return out.select(F.col("id").alias(doc_id), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _by_broadcast(slim: DataFrame, grams, words, whole: float, schema: str) -> DataFrame:
-    """Texts scored against the whole filter and the words with their counts, both on each executor."""
-    id_type = to_arrow_type(slim.schema["id"].dataType)
-
-    def work(batches):
-        known, known_counts = words.value
-        for ids, tokens, lengths in chunks(batches):
-            starts = np.cumsum(lengths) - lengths
-            u, inv = np.unique(tokens, return_inverse=True)
-            c = np.zeros(len(u), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-                c = np.where(known[at] == u, known_counts[at], 0).astype(np.int64)
-            base = np.add.reduceat((np.log10(c + 0.1) - np.log10(0.1))[inv], starts) + lengths * np.log10(0.1 / whole)
-            up, pinv = np.unique(pairs(tokens, lengths)[1], return_inverse=True)
-            score = token_scores(grams.value.counts(u)[inv], grams.value.counts(up)[pinv], lengths, whole)
-            n_known = np.add.reduceat((c > 0).astype(np.int64)[inv], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(lengths, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "base", "score"])
-
-    return slim.mapInArrow(work, schema)
-
-
 def op2_lm_score(spark, sf_dir):
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

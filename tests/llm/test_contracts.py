@@ -216,6 +216,29 @@ def test_op2_scores_do_not_depend_on_the_filter_limit(spark, hard, monkeypatch):
     assert [g[:4] for g in rows()] == [w[:4] for w in want]
 
 
+def test_op2_sends_one_row_for_a_chunk_and_a_task(spark, hard, monkeypatch):
+    """Rows between chunks and tasks are as many as both make, with neither words nor segments in the count, and scores do not depend on chunks."""
+    from corpusforge.llm import lm_score
+
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    sent, written = {}, lm_score.materialize
+
+    def count(df, name):
+        out = written(df, name)
+        sent[name] = out.select("key").distinct().count(), out.select("seg").distinct().count(), out.count()
+        return out
+
+    rows = lambda: sorted(tuple(r) for r in lm_score.score_texts(docs).collect())
+    want = rows()
+    monkeypatch.setattr(lm_score, "materialize", count)
+    monkeypatch.setattr(lm_score, "CHUNK", 40_000)
+    got = rows()
+    chunks, tasks, n = sent["answers"]
+    assert chunks > 5 and n == chunks * tasks and tasks < 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
+
+
 def test_op2_null_ids_are_scored_and_not_learned_from(spark):
     from corpusforge.llm.lm_score import score_texts
 
