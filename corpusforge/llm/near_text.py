@@ -49,6 +49,8 @@ SAME_NEAR, SAME_FAR = (1 - APART) ** 2 + APART**2 / 2, 0.375
 #: Cells up to SMALL are compared at once; above WIDE a dense cell links neighbours in sort order first.
 SMALL, WIDE, FEW = 24, 32_768, 1
 BLOCK = 1 << 21
+#: Bits for each hash of a filter that tells which texts can be of use, and bits in all.
+FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 27
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -315,6 +317,20 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a long, b long")
 
 
+def may_be_in(rows: DataFrame, c: str, keys: DataFrame, k: str) -> DataFrame:
+    """``rows`` whose 64-bit hash ``c`` is among ``keys``' hashes ``k``, and a few others (2 in 100 at most, until ``keys`` has
+    8 million), without a shuffle of ``rows``."""
+    bits = min(MAX_FILTER_BITS, 1 << max(10, (FILTER_BITS * keys.count() - 1).bit_length()))
+    places = lambda h: [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
+    at = keys.select(F.explode(F.array(*places(F.col(k)))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    own = np.zeros(bits >> 6, np.int64)
+    own[words["word"].to_numpy()] = words["bits"].to_numpy()
+    one = rows.sparkSession.createDataFrame(pa.table({"__bits": pa.array([own], pa.list_(pa.int64()))}))
+    hit = [F.getbit(F.get("__bits", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in places(F.col(c))]
+    return rows.join(F.broadcast(one), hit[0] & hit[1], "left_semi")
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, th) of the documents that have an earlier one in their group, and of those that stay but are repeated.
 
@@ -350,7 +366,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 part = b.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short_set(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], ["node", "own"])
 
-    texts = slim.join(met, (F.col("th") == F.col("m_th")) & F.col("id").eqNullSafe(F.col("m_id"))).select("node", "text")
+    # Most texts are near no other and are not sent.
+    texts = may_be_in(slim, "th", met, "m_th").join(met, (F.col("th") == F.col("m_th")) & F.col("id").eqNullSafe(F.col("m_id"))).select("node", "text")
     sets = texts.mapInArrow(own_sets, "node long, own binary")
     sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = materialize(verified(pairs, sets), "links")

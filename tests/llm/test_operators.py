@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -356,6 +357,36 @@ def test_near_dedup_joins_a_large_group_of_near_copies(spark, monkeypatch):
         assert want <= got and len(got - want) <= 0.05 * len(rows), (len(want), len(got))
 
 
+def test_near_dedup_sends_no_texts_that_are_near_no_other(spark):
+    """Only the texts of candidate pairs are shuffled, also where their list is too long to be broadcast."""
+    from corpusforge.llm.near_text import near_groups
+
+    r = random.Random(14)
+    prose = lambda: " ".join(f"{r.randrange(10**9)}" for _ in range(4000))
+    rows = [(i, prose()) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        for _ in range(3):
+            spark.range(1).count()
+            time.sleep(0.2)
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        gone, _ = near_groups(docs)
+        after = written()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {x["id"] for x in gone.collect()} == {1000 + i for i in range(10)}
+    assert 0 < after - before < 0.5 * sum(len(t) for _, t in rows), (after - before, sum(len(t) for _, t in rows))
+
+
 def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
     from corpusforge.llm.near_text import stage_near_dedup
 
