@@ -16,10 +16,11 @@ probability, a closer one more often (0.99 at 0.85, 0.998 at 0.9).
 
 Texts with one shingle set are one node. A cell with few close pairs gives them all; a
 dense one gives each node's nearest neighbour, and then, when those are verified and
-joined, only pairs that are still apart and whose similarity can reach the threshold, as
-far as the shingles tell that no other text of a dense cell has. So a group of near copies
-makes rows in proportion to its members, and a pair is left out only if its texts are
-joined already or cannot be near.
+joined, the members of pairs that are still apart and whose similarity can reach the
+threshold, as far as the shingles tell that no other text of a dense cell has. Those get
+their sets in the cell and are verified there. So a group of near copies makes rows in
+proportion to its members, and a pair is left out only if its texts are joined already or
+cannot be near.
 
 Defined results: null and empty texts are one text without words, near to each other;
 a null id comes after all others, so it survives only if its group has no other; null or
@@ -197,8 +198,8 @@ def _first_round(key, node, f0, f1):
     return tuple(map(np.concatenate, (a, b, dense, nearest)))
 
 
-def _second_round(key, node, f0, f1, root, size, shared, masks):
-    """Of whole dense cells: pairs of nodes within the radius that are not joined yet and can be similar.
+def _second_round(key, f0, f1, root, size, shared, masks):
+    """Of whole dense cells: pairs of positions within the radius that are not joined yet and can be similar.
 
     Two sets of ``size`` shingles have no more in common than either one has ``shared``
     with any other text. A pair comes from the first grid in which it shares a cell.
@@ -224,7 +225,7 @@ def _second_round(key, node, f0, f1, root, size, shared, masks):
                 shared_cell = keys[i[x : x + (1 << 14)] - s] == keys[j[x : x + (1 << 14)] - s]
                 first = shared_cell.argmax(axis=1)
                 here[x : x + (1 << 14)] = keys[i[x : x + (1 << 14)] - s, first] == key[s].view(np.uint64)
-            a.append(node[i[here]]), b.append(node[j[here]])
+            a.append(i[here]), b.append(j[here])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -280,21 +281,56 @@ def shared_counts(dense: DataFrame, sets: DataFrame) -> DataFrame:
     return own.select("node", size.alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def still_apart(dense: DataFrame, roots: DataFrame, tested: DataFrame, sets: DataFrame, masks: np.ndarray) -> DataFrame:
-    """Pairs of dense cells that are within the radius, not joined by ``roots`` (node, root), not ``tested`` and can be similar."""
+def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    return both >= similarity * (len(x) + len(y) - both)
 
-    def join(batches):
+
+def still_apart(dense: DataFrame, roots: DataFrame, sets: DataFrame, masks: np.ndarray) -> DataFrame:
+    """Verified links (a, b) that join what shares a dense cell, is within the radius and not joined by ``roots`` (node, root).
+
+    Members with such a pair go to their cell again with their sets, so what is sent grows with the members and not with their pairs.
+    """
+    names = ["key", "node", "f0", "f1", "root", "size", "shared"]
+
+    def pairs(key, node, f0, f1, root, size, shared):
+        return _second_round(key, f0.view(np.uint64), f1.view(np.uint64), root, size, shared, masks)
+
+    def concerned(batches):
         for cols in whole_cells(batches):
-            key, node, f0, f1, root, size, shared = cols
-            ab = _ordered(*_second_round(key, node, f0.view(np.uint64), f1.view(np.uint64), root, size, shared, masks))
-            if len(ab):
+            at = np.unique(np.concatenate(pairs(*cols)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols], names)
+
+    def verify(batches):
+        for *cols, own in whole_cells(batches):
+            node, root, up, links = cols[1], cols[4].tolist(), {}, []
+
+            def top(r, up=up):
+                while r in up:
+                    r = up[r]
+                return r
+
+            own = [np.frombuffer(x, np.uint32) for x in own]
+            for i, j in _ordered(*pairs(*cols)).tolist():
+                x, y = top(root[i]), top(root[j])
+                # What an earlier link has joined needs no other.
+                if x != y and similar(own[i], own[j]):
+                    up[max(x, y)] = min(x, y)
+                    links.append((node[i], node[j]))
+            if links:
+                ab = _ordered(*np.array(links, np.int64).T)
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
     # A text that no first pair names is near no other; it has no set and goes here.
     x = dense.join(materialize(shared_counts(dense, sets), "shared"), "node").join(roots, "node", "left")
     x = x.select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"), "size", "shared")
-    pairs = x.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    x = x.repartition("key").sortWithinPartitions("key").mapInArrow(concerned, ", ".join(f"{c} long" for c in names))
+    x = materialize(x, "apart")
+    cells = x.join(sets.hint("merge"), "node").select(*names, "own").repartition("key").sortWithinPartitions("key")
+    links = materialize(cells.mapInArrow(verify, "a long, b long"), "links")
+    discard(x)
+    return links
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -304,9 +340,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
         for b in batches:
             near = []
             for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                near.append(both >= similarity * (len(x) + len(y) - both))
+                near.append(similar(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), similarity))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     # Sizes alone rule out many pairs before whole sets are sent. Sets are wide rows: they are never broadcast through the driver.
@@ -372,9 +406,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sets = materialize(sets if repeated.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     links = materialize(verified(pairs, sets), "links")
     roots = components(links)
-    more = materialize(still_apart(dense, roots, pairs, sets, masks), "apart")
+    more = still_apart(dense, roots, sets, masks)
     if not more.isEmpty():
-        again = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more, sets)), "links")
+        again = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "links")
         discard(roots)
         roots = components(again)
         discard(again)

@@ -181,7 +181,7 @@ def whole_cells(batches):
     """The columns, as arrays, of batches that are sorted by their first column, cut only where that changes."""
     parts: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
         key = cols[0]
         if not len(key):
             continue

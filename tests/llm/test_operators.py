@@ -387,6 +387,28 @@ def test_near_dedup_sends_no_texts_that_are_near_no_other(spark):
     assert 0 < after - before < 0.5 * sum(len(t) for _, t in rows), (after - before, sum(len(t) for _, t in rows))
 
 
+def test_near_dedup_sends_members_and_not_pairs_of_a_group_below_the_threshold(spark, monkeypatch):
+    """Texts of one group, most at some 0.7 and some at 0.8: rows that are verified grow with the texts, and groups are those of brute force."""
+    from corpusforge.llm import near_text
+
+    r = random.Random(15)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        w = list(base) if i % 8 else list(rows[-1][1].split()) if rows else list(base)
+        for k in r.sample(range(5, 115), 2 if i % 8 else 1):
+            w[k] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOC).repartition(4)
+    sent, own = [], near_text.verified
+    monkeypatch.setattr(near_text, "SMALL", 2)
+    monkeypatch.setattr(near_text, "verified", lambda pairs, *a: sent.append(pairs.count()) or own(pairs, *a))
+    got = {x["doc_id"] for x in near_text.stage_near_dedup(spark, docs, "").collect()}
+    want = near_survivors(rows)
+    assert len(want) < len(rows) and want <= got and len(got - want) <= 0.05 * len(rows), (len(want), len(got))
+    assert sum(sent) <= 20 * len(rows), sent
+
+
 def test_near_dedup_keeps_different_texts_under_null_and_repeated_ids(spark):
     from corpusforge.llm.near_text import stage_near_dedup
 
