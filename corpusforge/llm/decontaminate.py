@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.session import materialize
+from corpusforge.session import materialize, slices
 
 SHINGLE, OVERLAP, THRESHOLD = 5, 0.8, 0.6
 K1, B, BLOCK_ITEMS = 1.2, 0.75, 8
 SHARD_CHARS = 2_000_000
 #: Largest matrix of block maxima, in cells; a larger index is walked by WAND alone.
 SCREEN_CELLS = 16_000_000
-#: Tokens screened at once.
-CHUNK_TOKENS = 200_000
+#: Tokens screened at once, and cells of block maxima gathered at once for them.
+CHUNK_TOKENS, GATHER_CELLS = 200_000, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -185,6 +185,19 @@ class ItemIndex:
                 part, n = [], 0
         return out + self._search(part)
 
+    def _best_bounds(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each query, whose terms lie from ``starts`` to ``ends``, the largest sum of block maxima; some queries at a time."""
+        best = np.empty(len(starts), np.float32)
+        most = max(1, GATHER_CELLS // self.bound.shape[1])
+        k = 0
+        while k < len(starts):
+            # One query at least, however many terms it has.
+            to = max(k + 1, int(np.searchsorted(ends, starts[k] + most, "right")))
+            part = self.bound[term[starts[k] : ends[to - 1]]]
+            best[k:to] = np.add.reduceat(part, starts[k:to] - starts[k], axis=0).max(axis=1)
+            k = to
+        return best
+
     def _search(self, docs: list[list[bytes]]) -> list[dict]:
         found: list[dict] = [{} for _ in docs]
         if not self.ids or not docs:
@@ -208,7 +221,7 @@ class ItemIndex:
         starts = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
         ends = np.concatenate((starts[1:], [len(query)]))
         if self.bound is not None:
-            passing = np.flatnonzero(np.add.reduceat(self.bound[term], starts, axis=0).max(axis=1) >= self.threshold - 1e-4)
+            passing = np.flatnonzero(self._best_bounds(term, starts, ends) >= self.threshold - 1e-4)
         else:
             passing = np.arange(len(starts))
         for k in passing:
@@ -254,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batches, shared=shared):
-            for b in batches:
+            for b in slices(batches):
                 rows = [(i, k, v) for i, hits in zip(b.column(0).to_pylist(), shared.value.search(b.column(1).to_pylist())) for k, v in hits.items()]
                 cols = [pa.array([r[0] for r in rows], b.schema[0].type), pa.array([shared.value.ids[r[1]] for r in rows])]
                 if rows:
@@ -272,7 +285,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batches, shared=shared):
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not hits for hits in shared.value.search(b.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.session import materialize
+from corpusforge.session import materialize, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_SITES, LG_K, NEAR, BROADCAST_LINES = 8, 12, 0.15, 500_000
@@ -77,8 +77,8 @@ def _with_counts(docs: DataFrame, own: list[str], text: str, clean) -> DataFrame
     at = docs.columns.index(text)
 
     def work(batches):
-        for b in batches:
-            new, n, gone = zip(*clean(b)) if b.num_rows else ((), (), ())
+        for b in slices(batches):
+            new, n, gone = zip(*clean(b))
             cols = [pa.array(new, pa.string()) if k == at else b.column(k) for k in range(len(own))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*own, *counts])
 

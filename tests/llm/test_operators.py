@@ -6,6 +6,7 @@ import time
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from test_contracts import run, words
 from pyspark.sql import functions as F
@@ -97,6 +98,36 @@ def test_op4_shards_give_the_results_of_one_index(spark, hard, hard_rows, monkey
     assert Counter(r["doc_id"] for r in drop_leaks(docs, bench).collect()) == left
 
 
+def test_op4_screen_gathers_few_cells_at_once():
+    """Many passages and blocks of items: the matrix of block maxima is gathered for some passages at a time."""
+    r = random.Random(4)
+    items = [(k, " ".join(f"w{r.randrange(3000)}" for _ in range(12)) + ".") for k in range(2000)]
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(9000)) + " " + items[k][1] for k in (3, 900)]
+    index, cells = ItemIndex(items), []
+
+    class Seen:
+        shape, own = index.bound.shape, index.bound
+
+        def __getitem__(self, at):
+            got = self.own[at]
+            cells.append(got.size)
+            return got
+
+    index.bound = None
+    plain = index.search(texts)
+    index.bound = Seen()
+    assert index.search(texts) == plain and [[index.ids[k] for k in x] for x in plain] == [[3], [900]]
+    assert cells and max(cells) <= 1_000_000
+
+
+def test_slices_hold_all_rows_in_order_and_few_at_once():
+    from corpusforge.session import slices
+
+    batches = [pa.record_batch({"x": list(range(a, b))}) for a, b in ((0, 600), (600, 600), (600, 601))]
+    got = list(slices(batches))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(601)) and max(b.num_rows for b in got) <= 256
+
+
 def test_op4_wand_equals_full_scores():
     r = random.Random(1)
     vocab = [f"v{i}" for i in range(40)]
