@@ -115,3 +115,38 @@ def test_exact_and_near_streams(spark, tmp_path):
     q.awaitTermination(180)
     kept = {r["ord"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(kept) == 3 and len(kept & {0, 2, 3}) == 1
+
+
+@pytest.mark.parametrize("rows", [minhash.BUCKET_ROWS, 5])
+def test_members_that_are_not_near_take_few_rounds(spark, monkeypatch, rows):
+    """Half of each text is common, so the buckets are shared and hardly anything is near: once a round for each text."""
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(70)]
+    texts = [" ".join(common + [f"w{k}_{i}" for i in range(30)]) for k in range(24)]
+    texts += [t.replace(f"w{k}_29", "end") for k, t in enumerate(texts[:6])]
+    r.shuffle(texts)
+    names = []
+    write = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: names.append(name) or write(df, name))
+    monkeypatch.setattr(minhash, "BUCKET_ROWS", rows)
+    got = {x["ord"]: x for x in minhash.near_dedup(docs(spark, texts)).collect()}
+    assert names.count("kept") <= 3 and "edges" in names
+    sig = {x["ord"]: np.array(x["signature"]) for x in minhash.with_signatures(docs(spark, texts)).collect()}
+    kept = []
+    for i in range(len(texts)):
+        near = [((sig[i] == sig[k]).mean(), -k) for k in kept if (sig[i] == sig[k]).mean() >= minhash.THRESHOLD]
+        assert got[i]["is_duplicate"] == bool(near), i
+        if near:
+            assert (got[i]["similarity"], -got[i]["matched_ord"]) == max(near)
+        else:
+            kept.append(i)
+    assert 20 <= len(kept) < len(texts)
+
+
+def test_signatures_are_the_minima_of_hashed_shingles(spark):
+    texts = ["", "?", "one two", "Ärger und ÜBER_mut, 12 mal — " * 3, "a b c d e f g " * 700]
+    a, b = (np.array(x, object) for x in zip(*minhash.coefficients()))
+    rows = docs(spark, texts).select("ord", F.transform(minhash.shingles(F.col("text")), minhash.shingle_hash).alias("h")).collect()
+    want = {r["ord"]: [min((x * p + q) % minhash.PRIME for x in r["h"]) if r["h"] else minhash.EMPTY for p, q in zip(a, b)] for r in rows}
+    got = minhash.with_signatures(docs(spark, texts), keep=["ord"])
+    assert got.columns == ["ord", "signature"] and {r["ord"]: r["signature"] for r in got.collect()} == want
