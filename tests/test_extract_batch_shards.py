@@ -153,3 +153,14 @@ def test_price_history_and_due(spark):
     assert {r["url"]: r["date_last_seen"] for r in touched.collect()} == {"a": day(15), "b": day(8), "c": day(9)}
     known, new = listings.split_seen(spark.createDataFrame([("a?x=1",), ("z",)], "url string"), seen)
     assert [r["url"] for r in known.collect()] == ["a"] and [r["url"] for r in new.collect()] == ["z"]
+
+
+def test_best_run_of_equal_sums_ends_first(spark):
+    """Runs 1 to 6 and 1 to 12 have the same sum, which rounded means told apart."""
+    scores = [float(n) for n in [62, 297, 610, 239, 145, 687, 70, 70, 58, 76, 195, 211]]
+    twice, total = 2 * len(scores), sum(scores)
+    gain = lambda x, y: sum(s * twice - total for s in scores[x:y])
+    assert gain(1, 6) == gain(1, 12) == max(gain(x, y) for y in range(len(scores) + 1) for x in range(y))
+    assert extract.best_run(scores) == (1, 6)
+    got = spark.createDataFrame([(scores,)], "s array<double>").select(extract.best_run_native(F.col("s")).alias("r")).first()["r"]
+    assert (got["start"], got["end"]) == (1, 6)
