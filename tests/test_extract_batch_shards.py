@@ -164,3 +164,21 @@ def test_best_run_of_equal_sums_ends_first(spark):
     assert extract.best_run(scores) == (1, 6)
     got = spark.createDataFrame([(scores,)], "s array<double>").select(extract.best_run_native(F.col("s")).alias("r")).first()["r"]
     assert (got["start"], got["end"]) == (1, 6)
+
+
+@pytest.mark.parametrize("tokens, size", [(16_384, 64), (50, 3), (7, 5)])
+def test_sequential_packing_has_no_task_that_sees_all(spark, monkeypatch, tokens, size):
+    r = random.Random(tokens)
+    texts = ["x" * r.choice([0, 1, 1, 2, 3, 9, 60, r.randrange(300)]) for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").repartition(5)
+    parts = []
+    write = batching.materialize
+    monkeypatch.setattr(batching, "materialize", lambda x, name: parts.append(out := write(x, name)) or out)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = batching.adaptive_batches(df, partitions=1, max_tokens=tokens, max_size=size).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(((x["length"], x["ord"]), x["batch_id"]) for x in rows)
+    assert [b for _, b in got] == batching.pack((k[0] for k, _ in got), tokens, size)
+    assert parts[0].select("part").distinct().count() > 1
