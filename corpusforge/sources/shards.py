@@ -9,6 +9,7 @@ then only renames files. The manifest is written last: a folder with a manifest
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window as W
 from corpusforge.session import materialize
 
 SHARD_SIZE = 10_000
+#: Files that are moved at once, and those that a task writes, about.
+MOVES, TASK_FILES = 16, 64
 MANIFEST = "manifest.json"
 
 
@@ -29,10 +32,11 @@ class Folder:
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
+        self.path_class = self.jvm.org.apache.hadoop.fs.Path  # each name on the way to it is a call to the JVM
         self.fs = self._path("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
     def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return self.path_class(f"{self.root}/{name}" if name else self.root)
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
@@ -43,11 +47,15 @@ class Folder:
     def names(self, folder: str) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))]
 
+    def files(self, pattern: str) -> list[tuple[str, int]]:
+        """(path, bytes) of what fits a glob pattern, in one call."""
+        found = self.fs.globStatus(self._path(pattern)) or []
+        return [("/".join(f.getPath().toString().split("/")[-pattern.count("/") - 1 :]), f.getLen()) for f in found]
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
     def move(self, name: str, to: str) -> None:
-        self.delete(to)
         if not self.fs.rename(self._path(name), self._path(to)):
             raise OSError(f"could not move {name} to {to} in {self.root}")
 
@@ -91,19 +99,33 @@ def _write(placed: DataFrame, cols: list, fmt: str, out_dir: str, prefix: str, e
     spark = placed.sparkSession
     out, stage = Folder(spark, out_dir), "_staging"
     out.delete(MANIFEST)
-    dealt = placed.select("shard", "position", *cols).repartition("shard").sortWithinPartitions("shard", "position").drop("position")
+    # A number, as Spark else gathers small rows in one task, which writes all shards one by one.
+    total = placed.count()
+    files = -(-total // shard_size)
+    tasks = max(1, min(files, 2 * spark.sparkContext.defaultParallelism), -(-files // TASK_FILES))
+    dealt = placed.select("shard", "position", *cols).repartition(tasks, "shard").sortWithinPartitions("shard", "position").drop("position")
     writer = dealt.write.mode("overwrite").partitionBy("shard")
     for k, v in more.items():
         writer = writer.option(k, v)
+    # Tasks move their own files to the staging folder; nobody reads it before all have.
+    writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.format(fmt).save(f"{out.root}/{stage}")
-    found = sorted(int(n.split("=")[1]) for n in out.names(stage) if n.startswith("shard="))
-    total = placed.count() if found else 0
-    shards = []
-    for k in found:
-        (part,) = [n for n in out.names(f"{stage}/shard={k}") if n.startswith("part-")]
+    found = sorted((int(path.split("shard=")[-1].split("/")[0]), path, size) for path, size in out.files(f"{stage}/shard=*/part-*"))
+    if len({k for k, _, _ in found}) < len(found):
+        raise OSError(f"a shard has two files in {out.root}/{stage}")
+    there = set(out.names(""))
+
+    def put(item):
+        k, path, size = item
         name = shard_name(prefix, k, ext)
-        out.move(f"{stage}/shard={k}/{part}", name)
-        shards.append({"path": name, "records": min(shard_size, total - k * shard_size), "bytes": out.size(name)})
+        if name in there:
+            out.delete(name)
+        out.move(path, name)
+        return {"path": name, "records": min(shard_size, total - k * shard_size), "bytes": size}
+
+    # A move is a call to the file system, so many wait at once.
+    with ThreadPoolExecutor(MOVES) as pool:
+        shards = list(pool.map(put, found))
     out.delete(stage)
     manifest = {"format": ext, **({"compression": more["compression"]} if ext == "parquet" else {}), "total_records": total, "shard_count": len(shards), "shard_size": shard_size, "shards": shards}
     out.write(MANIFEST, json.dumps(manifest, indent=2) + "\n")

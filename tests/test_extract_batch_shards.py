@@ -182,3 +182,17 @@ def test_sequential_packing_has_no_task_that_sees_all(spark, monkeypatch, tokens
     got = sorted(((x["length"], x["ord"]), x["batch_id"]) for x in rows)
     assert [b for _, b in got] == batching.pack((k[0] for k, _ in got), tokens, size)
     assert parts[0].select("part").distinct().count() > 1
+
+
+def test_small_shards_are_written_by_many_tasks(spark, tmp_path):
+    """Rows of a few bytes, once gathered in one task, which wrote every shard."""
+    m = shards.write_parquet_shards(spark.range(400).select(F.col("id").alias("ord"), F.col("id").alias("k")), str(tmp_path / "p"), 10)
+    assert [s["records"] for s in m["shards"]] == [10] * 40
+    assert all(s["bytes"] == (tmp_path / "p" / s["path"]).stat().st_size for s in m["shards"])
+    tasks = set()
+    move = shards.Folder.move
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(shards.Folder, "move", lambda self, name, to: tasks.add(name.split("part-")[1][:5]) or move(self, name, to))
+        again = shards.write_parquet_shards(spark.range(400).select(F.col("id").alias("ord"), F.col("id").alias("k")), str(tmp_path / "p"), 10)
+    assert again["shards"] == m["shards"] and len(tasks) > 2
+    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/p/shard-00007.parquet").collect()) == list(range(70, 80))
