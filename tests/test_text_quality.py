@@ -122,3 +122,25 @@ def test_measures_of_random_texts(spark):
         assert m["alpha_tokens"] == sum(any(c.isalpha() for c in w) for w in t.split())
         assert m["bullets"] == sum(x[0] in "*-" for x in lines)
         assert m["line_chars"] - m["distinct_line_chars"] == sum(map(len, lines)) - sum(map(len, set(lines)))
+
+
+def test_tidy_guard_agrees_with_the_whole_chain(spark):
+    """Normalization passes over texts that no step would change; scripts look for others than Latin only in what Latin leaves."""
+    r = random.Random(8)
+    parts = ["a", "b ", " ", "\n", "\n\n", " \n", "\t", "\r\n", "‘", "”", "″", "　", "​", "\x85", "\x1c", "é", "我", "я", "."]
+    texts = ["".join(r.choices(parts, k=r.randrange(9))) for _ in range(1500)]
+    quick = each(spark, texts, X.normalize_native)
+    assert quick == each(spark, texts, lambda c: X.collapse_whitespace(X.fold_quotes(X.strip_invisible(c))))
+    plain = lambda c: F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, X.H_SPACE, " "), X.BLANK_LINES, "\n\n"), r" *\n *", "\n"), F.lit(" \n"))
+    stripped = lambda c: F.regexp_replace(F.regexp_replace(c, X.INVISIBLE, ""), X.CONTROL, "")
+    assert quick == each(spark, texts, lambda c: plain(F.translate(stripped(c), X.QUOTES_FROM, X.QUOTES_TO)))
+
+
+def test_unicode_forms_take_some_rows_at_a_time(spark):
+    """A batch of texts was once decoded and returned whole."""
+    sizes = lambda batches: (b.__class__.from_pydict({"n": [b.num_rows]}) for b in batches)
+    df = spark.range(1000).select(F.concat(F.lit("é"), "id").alias("text")).coalesce(1)
+    from corpusforge.session import slices
+
+    assert X._in_form(df, "NFKC").count() == 1000
+    assert max(r["n"] for r in df.mapInArrow(lambda x: sizes(slices(x)), "n long").collect()) == 256
